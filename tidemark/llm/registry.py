@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, secrets, topk, toxicity, warc
+from . import fingerprint, mixing, quality, secrets, topk, toxicity, warc
 from .common import table
 
 
@@ -28,11 +28,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.assess(table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprint, op4_toxicity, op5_topk, op6_secrets, op7_warc, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_fingerprint, op4_toxicity, op5_topk, op6_secrets, op7_warc, op9_quality, op10_mixing)}
 ORACLES: dict[str, str] = {
     "op5_topk": """
         WITH v AS (
