@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, near_dedup, quality, secrets, topk, toxicity, warc
+from . import fingerprint, mixing, near_dedup, quality, repeats, secrets, topk, toxicity, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_fingerprint, op4_toxicity, op5_topk, op6_secrets, op7_warc, op9_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_repeats, op3_fingerprint, op4_toxicity, op5_topk, op6_secrets, op7_warc, op9_quality, op10_mixing)}
 ORACLES: dict[str, str] = {
     "op5_topk": """
         WITH v AS (
