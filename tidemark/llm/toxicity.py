@@ -127,16 +127,20 @@ def score(docs: DataFrame, weights: np.ndarray | None, grams: Sequence[int] = GR
     return docs.select(*columns, probability(text_or_empty()).alias("score"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, broadcast_rows: int = 2_000_000, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
     Labels (doc_id, toxic) are learned from rows whose crc32(doc_id as text) mod folds is not 0; the others are held
     out. Nothing but the text enters a score. Null or empty text: a score as well, from the bias. Null labels are not
     learned from; of repeated labels of a document the largest counts. Repeated documents: equal scores. A null doc_id
-    has no label and is not held out. With no label rows of one kind, every score is 0.5.
+    has no label and is not held out. With no label rows of one kind, every score is 0.5. The labels are broadcast to
+    the texts only if they are counted to be few (broadcast_rows); else the join shuffles.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    known = write_shared(known, "toxicity-labels")
+    if known.count() <= broadcast_rows:
+        known = F.broadcast(known)
     train = docs.select("doc_id", "text").where(~held).join(known, "doc_id")
     weights = fit(train, **options)
     use = {k: v for k, v in options.items() if k in ("grams", "bits")}
