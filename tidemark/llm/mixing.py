@@ -86,6 +86,8 @@ def mix(
     Columns of the input that are not in keep do not matter; kept ones must not bear a name of the result.
     """
     key = F.md5(F.col("doc_id").cast("string"))
+    shown = [k for k in keep if k != "doc_id"]
+    keep = [k for k in shown if k != "source"]
     rows = docs.select(
         "doc_id", "source", *keep,
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
@@ -100,9 +102,9 @@ def mix(
     offsets = s.join(b, F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.source", "_bucket", "_before", "source_size", "source_no", "target")
 
     within = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = rows.withColumn("_upto", F.sum("size").over(within)).alias("r")
-    o = offsets.alias("o")
-    r = r.join(o, F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r._bucket") == F.col("o._bucket"))).drop(F.col("o.source"), F.col("o._bucket"))
+    r = rows.withColumn("_upto", F.sum("size").over(within))
+    o = offsets.withColumnRenamed("source", "_source").withColumnRenamed("_bucket", "_at")
+    r = r.join(o, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_at")))
     middle = F.col("_before") + F.col("_upto") - F.col("size") / 2.0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio)
@@ -119,11 +121,11 @@ def mix(
 
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), position)).otherwise(F.array().cast("array<double>"))
     return r.select(
-        "doc_id", *keep, "size", "source_size", F.col("target").cast("double").alias("target"),
+        "doc_id", *shown, "size", "source_size", F.col("target").cast("double").alias("target"),
         (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"), positions.alias("positions"),
     )
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """One row per copy that the mix takes, range-sorted by position; copies 0 go."""
-    return mixed.select("*", F.explode("positions").alias("position")).orderBy("position", "doc_id")
+    return mixed.select("*", F.explode("positions").alias("position")).orderBy("position", "doc_id")  # a range sort

@@ -145,7 +145,7 @@ def log_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], bl
 
 
 def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.98, slack: float = 0.1, prior_bytes: int = 200, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (a byte), score, threshold, keep for each row of docs.
+    """doc_id, lang, n_bytes, perplexity (a byte), score, threshold, keep, text_hash for each row of docs.
 
     trusted: doc_ids of the text that the model learns from. score is the log-perplexity, drawn towards the median of
     the trusted text of the language as if prior_bytes bytes more had it, so that a short text is not judged by a few
@@ -159,7 +159,8 @@ def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: fl
     small = ids.count() <= broadcast_rows
     learn = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("text")
     model = train(learn, order)
-    scores = write_shared(log_perplexity(docs, model), "quality-scores")
+    held = docs.select("doc_id", "lang", "text", F.xxhash64(text_or_empty()).alias("text_hash"))
+    scores = write_shared(log_perplexity(held, model, keys=("doc_id", "lang", "text_hash")), "quality-scores")
 
     rate = F.when(F.col("n_bytes") > 0, F.col("nll") / F.col("n_bytes"))
     good = scores.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").where("n_bytes > 0")
@@ -175,10 +176,19 @@ def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: fl
     threshold = by_lang(edge, edge_all) + slack * median
     return scores.select(
         "doc_id", "lang", "n_bytes", F.exp(F.coalesce(rate, F.lit(0.0))).alias("perplexity"), score.alias("score"), threshold.alias("threshold"),
-        F.coalesce((F.col("n_bytes") == 0) | (score <= threshold), F.lit(True)).alias("keep"),
+        F.coalesce((F.col("n_bytes") == 0) | (score <= threshold), F.lit(True)).alias("keep"), "text_hash",
     )
 
 
+def without_rejected(docs: DataFrame, trusted: DataFrame, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """The rows of docs that assess() keeps, with all their columns."""
+    gone = assess(docs, trusted, **options).where(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = write_shared(gone, "quality-rejected")
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash")), "left_anti")
+
+
 def _pick(values: dict, other: Column) -> Column:
     out = other
     for lang, value in values.items():

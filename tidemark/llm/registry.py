@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, near_dedup, quality, repeats, secrets, topk, toxicity, warc
+from . import fingerprint, mixing, near_dedup, pieces, quality, repeats, secrets, topk, toxicity, warc
 from .common import table
 
 
@@ -36,16 +36,24 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+#: The vocabulary file of op8 and the pipeline.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return quality.assess(table(spark, sf_dir, "documents"), trusted)
+    return quality.assess(table(spark, sf_dir, "documents"), trusted).drop("text_hash")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_repeats, op3_fingerprint, op4_toxicity, op5_topk, op6_secrets, op7_warc, op9_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_repeats, op3_fingerprint, op4_toxicity, op5_topk, op6_secrets, op7_warc, op8_pieces, op9_quality, op10_mixing)}
 ORACLES: dict[str, str] = {
     "op5_topk": """
         WITH v AS (

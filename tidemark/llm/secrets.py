@@ -137,3 +137,35 @@ def scan_secrets(docs: DataFrame, scope: int = 256) -> DataFrame:
         F.col("f.doc_id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256",
         F.concat_ws(",", F.transform(spans, shown)).alias("spans"), F.size(linked_spans).cast("long").alias("n_linked"), F.col("f.text_hash").alias("text_hash"), spans.alias("span_list"),
     )
+
+
+def redact(docs: DataFrame, scope: int = 256, mark: str = "[SECRET]", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs with every span of scan_secrets() replaced by mark, overlapping ones by one; n_chars follows where it is a column.
+
+    Documents without spans pass as they are. The spans go to the texts by broadcast only if the documents that have
+    any are counted to be few; else the join shuffles.
+    """
+    found = scan_secrets(docs, scope).where(F.size("span_list") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("span_list").alias("_spans")).dropDuplicates(["_id", "_hash"])
+    found = write_shared(found, "secrets-found")
+    if found.count() <= broadcast_rows:
+        found = F.broadcast(found)
+    columns = docs.columns
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch["text"], batch["_spans"]):
+                out, at = [], 0
+                for s, e in sorted((x["start"], x["end"]) for x in spans):
+                    if e > at:
+                        out += [text[at:s], mark] if s >= at else []
+                        at = e
+                texts.append("".join([*out, text[at:]]))
+            batch = batch.assign(text=texts)
+            if "n_chars" in columns:
+                batch = batch.assign(n_chars=[len(t) for t in texts])
+            yield batch[columns]
+
+    clean = docs.join(found, same, "left_anti")
+    return clean.unionByName(docs.join(found, same).select(*columns, "_spans").mapInPandas(cut, docs.schema))
