@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_axis, queries_scores
+
+QUERIES = {**queries_axis.QUERIES, **queries_scores.QUERIES}
+ORACLES: dict[str, str] = {**queries_axis.ORACLES, **queries_scores.ORACLES}
