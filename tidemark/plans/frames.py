@@ -70,14 +70,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     return li.join(part, li["l_partkey"] == part["p_partkey"]).select(
         F.col("l_returnflag").alias("site_id"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), F.col("l_quantity").alias("sw"),
-        (F.col("l_extendedprice") / 1000).alias("measured"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity") * F.col("p_retailprice") / 1000).alias("predicted"),
+        (F.col("l_extendedprice") / 997).alias("measured"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity") * F.col("p_retailprice") / 997).alias("predicted"),
         "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey",
     )
 
 
 PAIRS = """pairs AS (
-    SELECT l_returnflag AS site_id, l_shipdate AS ts, l_quantity AS sw, l_extendedprice / 1000 AS measured,
-        CASE WHEN l_linenumber <> 7 THEN l_quantity * p_retailprice / 1000 END AS predicted,
+    SELECT l_returnflag AS site_id, l_shipdate AS ts, l_quantity AS sw, l_extendedprice / 997 AS measured,
+        CASE WHEN l_linenumber <> 7 THEN l_quantity * p_retailprice / 997 END AS predicted,
         l_extendedprice, l_quantity, l_discount, l_tax, l_linenumber, l_suppkey
     FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 

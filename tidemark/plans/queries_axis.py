@@ -75,7 +75,7 @@ def time_missing_grid(spark, sf_dir):
     return show(timeaxis.missing_rows(df, half_hours(df)))
 
 
-@query("q_time_off_grid", sql([SITE, "ends AS (SELECT site_id, min(ts) AS a FROM site GROUP BY 1)"], f"SELECT site_id, {text('ts')} AS ts FROM site JOIN ends USING (site_id) WHERE (epoch_us(ts) - epoch_us(a)) % (3 * {HALF_HOUR}) <> 0"))
+@query("q_time_off_grid", sql([SITE, "ends AS (SELECT site_id, min(ts) AS a FROM site GROUP BY 1)"], f"SELECT site_id, {text('ts')} AS ts FROM site JOIN ends USING (site_id) WHERE (epoch_us(ts) - epoch_us(a)) % {3 * HALF_HOUR} <> 0"))
 def time_off_grid(spark, sf_dir):
     df = site_frame(spark, sf_dir)
     return show(timeaxis.off_grid(df, timeaxis.step_of(df, "90min")))
