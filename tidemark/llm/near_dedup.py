@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_or_empty, write_shared
+from .common import WORD, mix64, text_or_empty, write_shared
 from .shingles import in_chunks, multisets, word_shingles
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
+#: Pairs are broadcast only if they are counted to be this few; else the join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def bag_signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int, registers: int) -> np.ndarray:
@@ -87,13 +89,17 @@ def overlap_share(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, group_rows: int = 128) -> DataFrame:
     """The pairs (pivot, node) whose texts' shingles overlap enough.
 
-    The members of a pivot are dealt into groups of about group_rows, each of which gets the pivot's text once.
+    The members of a pivot are dealt into groups of about group_rows, each of which gets the pivot's text once. Few
+    pairs (by count) go to the texts by broadcast; more are joined by shuffle.
     """
+    few = pairs.count() <= BROADCAST_ROWS
     load = pairs.groupBy("pivot").agg(F.count("*").alias("load"))
     pairs = pairs.join(load, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("load") / group_rows)).cast("int")).drop("load")
     pairs = write_shared(pairs, "near-pairs")
-    members = pairs.join(texts, "node").select("pivot", "part", "node", "text")
-    heads = pairs.select(F.col("pivot").alias("node"), "part").distinct().join(texts, "node")
+    heads = pairs.select(F.col("pivot").alias("node"), "part").distinct()
+    by_size = F.broadcast if few else (lambda df: df)
+    members = texts.join(by_size(pairs), "node").select("pivot", "part", "node", "text")
+    heads = texts.join(by_size(heads), "node")
     heads = heads.select(*[F.col(c).alias(n) for c, n in (("node", "pivot"), ("part", "part"), ("text", "text"))])  # columns of its own
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -110,6 +116,24 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float,
     return members.groupBy("pivot", "part").cogroup(heads.groupBy("pivot", "part")).applyInPandas(check, "pivot binary, node binary")
 
 
+def shared_weights(texts: DataFrame, words: int) -> DataFrame:
+    """node, size (shingles), common (those of them that occur in another of these texts too)."""
+
+    def list_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            raw, nodes = [t.encode() for t in batch["text"]], batch["node"].to_numpy()
+            for at, part in in_chunks(raw):
+                owner, shingle, count = multisets(*word_shingles(part, words))
+                yield pd.DataFrame({"node": nodes[at + owner], "shingle": shingle.view(np.int64), "count": count})
+
+    held = texts.mapInPandas(list_shingles, "node binary, shingle long, count long")
+    alone = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("count").alias("count")).where("n = 1")
+    alone = alone.groupBy("node").agg(F.sum("count").alias("alone"))
+    size = F.greatest(F.regexp_count("text", F.lit(WORD)) - (words - 1), F.lit(1)).cast("long")
+    sized = texts.select("node", size.alias("size")).join(alone, "node", "left")
+    return sized.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (its component's smallest node) of the nodes of edges (a, b): least labels spread over edges and along themselves."""
     both = write_shared(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
@@ -131,8 +155,10 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     Equal texts are one node from the start, so copies never meet as pairs. In a bucket of the bands, all members are
     verified against one pivot first. Buckets that still hold several components go on: each round takes growth times
     as many pivots, drawn by hash, until every member has been one; pairs that are in one component by then, or have
-    been verified before, are left out. So every pair that shares a bucket is verified or already linked through
-    others, and a large group of near copies costs rows in proportion to its size, not its square.
+    been verified before, are left out, and so are pairs that cannot reach the similarity because too many of their
+    shingles occur in no other text that is still in question. So every pair that shares a bucket is verified, ruled
+    out by its counts or already linked through others; members of large groups of near copies are soon in one
+    component or ruled out.
 
     Null or empty texts, or of white space only, have no shingles: each of them is a class with its equals in text.
     Texts of fewer than five words are near only if their words are equal. Repeated rows: one class. A null doc_id is
@@ -156,15 +182,23 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     pairs = members.where("node <> head").select(F.col("head").alias("pivot"), "node").distinct()
     links = write_shared(verified(pairs, texts, words, similarity), "near-links")
     checked, comps = pairs, components(links.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    edges, width = links, 1
+    edges, width, weights = links, 1, None
     while width < largest:
         width *= growth
         at = members.join(comps, "node", "left").select("bucket", "node", "head", "n", F.coalesce("comp", "node").alias("comp"))
         mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         place = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 31)) / float(1 << 31) * F.col("n")
-        rest = write_shared(at.where("n > 2 and node <> head").join(mixed, "bucket").withColumn("place", place), "near-rest")
-        p = rest.where(F.col("place") < width).select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        met = p.join(rest, "bucket").where("pivot_comp <> comp and (node > pivot or place >= {})".format(width))
+        rest = at.where("n > 2 and node <> head").join(mixed, "bucket").withColumn("place", place)
+        if weights is None:
+            rest = write_shared(rest, "near-rest")
+            asked = texts.join(rest.select("node").distinct(), "node", "left_semi")
+            weights = write_shared(shared_weights(asked, words), "near-weights")
+        # what a text shares with no other cannot be in an overlap
+        rest = write_shared(rest.join(weights, "node").where(F.col("common") >= similarity * F.col("size") - 1e-9), "near-rest")
+        p = rest.where(F.col("place") < width).select("bucket", *[F.col(c).alias(f"pivot{d}") for c, d in (("node", ""), ("comp", "_comp"), ("size", "_size"), ("common", "_common"))])
+        most = F.least("common", "pivot_common")  # of the overlap
+        near = most >= similarity * (F.col("size") + F.col("pivot_size") - most) - 1e-9
+        met = p.join(rest, "bucket").where(near & F.expr(f"pivot_comp <> comp and (node > pivot or place >= {width})"))
         met = met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
         met = write_shared(met.join(checked, ["pivot", "node"], "left_anti"), "near-met")
         if met.limit(1).count():

@@ -192,6 +192,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     shorter than length keep all. Rows with equal texts of length bytes or more (copies, repeated rows) lose all of
     it; one of them stands for the others in what follows. Empty table: no rows. Extra columns do not matter.
     """
+    if not 0 < block <= length - gram + 1:
+        raise ValueError("a block of starts must be no longer than length - gram + 1")
     text = text_or_empty()
     node = F.unhex(F.md5(text)).alias("node")
     rows = write_shared(docs.select("doc_id", node, F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole_sha256")), "repeats-docs")

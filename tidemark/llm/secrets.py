@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, write_shared
 
-# The base patterns, in the order in which ties of the start are listed.
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+# The base patterns, in the order in which ties of the start are listed. ASCII: no other letter is a case of k or s.
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run, as [0-9a-f]+ is
 # Weak parts.
-CLIENT = re.compile(r"""(?i:client_?id|access_?key_?id|account|user(?:name)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}""")
+CLIENT = re.compile(r"""(?i:client_?id|access_?key_?id|account|user(?:name)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}""", re.ASCII)
 MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,15}://[^\s"'<>|]{3,}""")
 
