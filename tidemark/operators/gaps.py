@@ -85,7 +85,8 @@ def place(df: DataFrame, steps: DataFrame, is_available: Column, scenario: GapSc
     spark = df.sparkSession
     plan = allocate(site_spans(df, steps, is_available), scenario.table(spark), scenario.missing_fraction, scenario.basis)
     wide = plan.groupBy("site_id").agg(F.collect_list(F.struct("gap_class", "events", "per_event")).alias("plan")).join(steps, "site_id")
-    rows = df.select("site_id", F.col("ts").alias("ts"), is_available.alias("available"))
+    wide = wide.select(*[F.col(c).alias(c) for c in wide.columns])  # columns of its own: both sides come from df
+    rows = df.select("site_id", "ts", is_available.alias("available"))
     durations = {c: micros(d) for c, d in scenario.durations.items()}
 
     def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
