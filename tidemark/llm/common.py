@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own: dict[str, str] = {}  # by application, where no folder is set
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
     try:
@@ -20,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     except Exception:  # not set
         root = None
     if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="tidemark-")
     return root
 
 
