@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .shingles import in_chunks
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _UNKNOWN_CHAR = 1 << 24
 _NEVER = 1 << 40
+#: Characters of new words that are matched at a time: their edges, about four a character, are in memory together.
+WORD_CHARS = 1 << 19
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -239,8 +242,9 @@ class Encoder:
             words += map(look, found)
             counts.append(len(found))
         if self.index.fresh:
-            tokens, sizes = self._encode_words(self.index.fresh)
-            self.tokens, self.sizes = np.concatenate([self.tokens, tokens]), np.concatenate([self.sizes, sizes])
+            parts = [self._encode_words(part) for _, part in in_chunks(self.index.fresh, WORD_CHARS)]
+            self.tokens = np.concatenate([self.tokens, *(t for t, _ in parts)])
+            self.sizes = np.concatenate([self.sizes, *(n for _, n in parts)])
             self.index.fresh.clear()
         words = np.array(words, np.int64)
         starts, size = np.cumsum(self.sizes) - self.sizes, self.sizes[words] if len(words) else np.zeros(0, np.int64)
@@ -340,7 +344,7 @@ def decode(model: PieceModel, ids: Sequence[np.ndarray]) -> list[str]:
     return out
 
 
-def encode_documents(docs: DataFrame, model_path: str, keep: Sequence[str] = ("doc_id",), chunk_chars: int = 8 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, keep: Sequence[str] = ("doc_id",), chunk_chars: int = 4 << 20) -> DataFrame:
     """The columns in keep, then ids (the encoding), n_pieces, decoded_sha256 (of the UTF-8 of the decoded text) and round_trip for each row.
 
     round_trip: does decoding give the text again, U+2581 taken as the blank that the model takes it for? Null or empty
