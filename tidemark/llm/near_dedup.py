@@ -136,6 +136,11 @@ def shared_weights(texts: DataFrame, words: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (its component's smallest node) of the nodes of edges (a, b): least labels spread over edges and along themselves."""
+    # of a node's edges one stays; its other neighbours are tied to that neighbour instead
+    edges = write_shared(edges.select("a", "b"), "near-edges")
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    tied = edges.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()
+    edges = least.select(F.col("m").alias("a"), "b").unionByName(tied)
     both = write_shared(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     labels = write_shared(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("comp")), "near-labels")
     while True:
@@ -182,7 +187,7 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     pairs = members.where("node <> head").select(F.col("head").alias("pivot"), "node").distinct()
     links = write_shared(verified(pairs, texts, words, similarity), "near-links")
     checked, comps = pairs, components(links.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    edges, width, weights = links, 1, None
+    width, weights = 1, None
     while width < largest:
         width *= growth
         at = members.join(comps, "node", "left").select("bucket", "node", "head", "n", F.coalesce("comp", "node").alias("comp"))
@@ -203,7 +208,8 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         met = write_shared(met.join(checked, ["pivot", "node"], "left_anti"), "near-met")
         if met.limit(1).count():
             fresh = write_shared(verified(met, texts, words, similarity), "near-links")
-            checked, edges = checked.unionByName(met), edges.unionByName(fresh)
+            checked = checked.unionByName(met)
+            edges = comps.where("comp <> node").select(F.col("comp").alias("pivot"), "node").unionByName(fresh)
             comps = components(edges.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     return _named(found, nodes, comps)
 
