@@ -63,3 +63,15 @@ def test_defined_results_for_odd_rows(edge, nothing, documents):
     assert fingerprint_edits(nothing).count() == 0
     alone = fingerprint_edits(documents([(9, prose(9))])).first()
     assert alone["near_next"] == 1.0  # after the last comes the first
+
+
+def test_no_text_but_an_empty_one_has_an_empty_fingerprint():
+    rank = RANK.copy()
+    rank[: 1024 // 6] = 1024  # low entropy: never selected, as in entropy_ranks()
+    texts = [prose(i, 200).encode()[:i] for i in range(1, 301)] + [b"z" * n for n in range(1, 301)] + [b"ab" * 3000, b"y" * 50_000]
+    found = digests([b"", *texts], rank)
+    assert len(found[0]) == 0 and all(len(d) for d in found[1:])
+    for t, d in zip(texts[126:141], found[127:142]):
+        assert (digests([t], rank)[0] == d).all()
+    a, b = digests([prose(1).encode()[:130], prose(2).encode()[:130]], rank)
+    assert likeness(a, b) < 0.5

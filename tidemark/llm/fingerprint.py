@@ -89,8 +89,8 @@ def digests(texts: Sequence[bytes], rank: np.ndarray, lead: int = 16, near: int
     """Bloom filters (n x 256 bytes) of each text.
 
     A window is selected if it is the rarest (of equals the first) in at least lead of the runs of near windows that
-    hold it. A text of fewer than near windows gives its rarest one, one shorter than a window its whole, an empty
-    text nothing. Each filter takes the next per_filter features, five bits of 2048 each.
+    hold it. A text without such a window gives its rarest one (of low entropy, if there is no other), one shorter
+    than a window its whole, an empty text nothing. Each filter takes the next per_filter features, five bits of 2048 each.
     """
     out: list[np.ndarray] = []
     for first, data, starts in _joined(texts):
@@ -109,9 +109,10 @@ def digests(texts: Sequence[bytes], rank: np.ndarray, lead: int = 16, near: int
                 at = at[led >= lead]
                 owner.append(np.searchsorted(starts, at, "right") - 1)
                 value.append(hashes.value(at, at + WINDOW))
-        sizes = np.diff(starts)
-        short = np.flatnonzero((sizes > 0) & (sizes < WINDOW + near - 1))
-        for k in short:
+        bare = np.diff(starts) > 0
+        if owner:
+            bare[owner[0]] = False
+        for k in np.flatnonzero(bare):
             a, b = starts[k], starts[k + 1]
             if b - a >= WINDOW:
                 a = a + int(np.argmin(rank[bins[a : b - WINDOW + 1]]))
