@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -104,3 +105,12 @@ def test_overlap_share():
     a = (np.array([1, 2, 3], np.uint64), np.array([1, 2, 1]))
     b = (np.array([2, 3, 9], np.uint64), np.array([1, 1, 5]))
     assert near_dedup.overlap_share(a, b) == 2 / (4 + 7 - 2)
+
+
+def test_one_of_each_keeps_a_row_of_a_class_with_null_ids(documents):
+    base = [f"b{i}" for i in range(100)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (0, 99)]
+    for null_first in (True, False):  # whichever node is the smaller
+        texts = sorted(near, key=lambda t: hashlib.md5(t.encode()).hexdigest(), reverse=null_first)
+        rows = [(7, texts[0]), (None, texts[1]), (9, "a text of quite another kind")]
+        assert sorted(r["doc_id"] for r in one_of_each(documents(rows)).collect()) == [7, 9]

@@ -217,7 +217,7 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
 def _named(found: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
     slim = nodes.select("node", "least", "copies")
     slim = slim.withColumn("comp", F.col("node")) if comps is None else slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = slim.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct("least", "node")).alias("kept"))
+    named = slim.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("kept"))
     of_node = slim.join(named, "comp").select("node", "class_id", "class_size", F.col("kept.node").alias("kept_node"))
     return found.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", "class_id", "class_size", "kept_node")
 
