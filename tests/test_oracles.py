@@ -39,3 +39,11 @@ def test_query_equals_its_oracle(spark, duck, name):
 def test_query_without_sql_has_rows(spark, name):
     # the smallest tables are too sparse to place gaps in
     assert registry.QUERIES[name](spark, SF.replace("0.001", "0.01")).limit(1).count() == 1
+
+
+def test_whole_reports_cover_every_site_and_subset(duck):
+    sites = {r[0] for r in duck.execute("SELECT 'NATION_' || n_nationkey FROM nation").fetchall()}
+    for name in ("q_report_gap_length_table_all_sites", "q_report_site_report_all_subsets"):
+        found = duck.execute(f"SELECT DISTINCT site, subset FROM ({registry.ORACLES[name]})").fetchall()
+        assert {s for s, _ in found} <= sites and len({s for s, _ in found}) > 2
+        assert {s for _, s in found} == {"all", "daytime", "nighttime"}

@@ -172,6 +172,13 @@ def report_gap_length_table(spark, sf_dir):
     return show(reports.gap_length_table({s: t.where(F.col("site") == s).drop("site") for s in ("NATION_1", "NATION_7")}))
 
 
+@query("q_report_gap_length_table_all_sites", sql([TIDY], f"SELECT {_tidy} FROM tidy"))
+def report_gap_length_table_all_sites(spark, sf_dir):
+    t = tidy(spark, sf_dir).drop("units")
+    names = sorted(r["site"] for r in t.select("site").distinct().collect())  # as many as there are nations
+    return show(reports.gap_length_table({s: t.where(F.col("site") == s).drop("site") for s in names}))
+
+
 @query("q_report_median_sites", sql([TIDY], """SELECT target, method, mode, gap_class, subset, units, count(DISTINCT site) AS n_sites, sum(n)::BIGINT AS n, sum(n_offered)::BIGINT AS n_offered,
     round(median(r2), 6) AS r2, round(median(slope), 6) AS slope, round(median(rmse), 6) AS rmse, round(median(bias), 6) AS bias FROM tidy GROUP BY ALL"""))
 def report_median_sites(spark, sf_dir):
@@ -202,6 +209,11 @@ def report_site_report(spark, sf_dir):
     return show(_report(spark, sf_dir).where("subset = 'all'"))
 
 
+@query("q_report_site_report_all_subsets", sql([TIDY, SITES], f"SELECT {_tidy}, igbp, latitude FROM tidy LEFT JOIN sites ON site = site_id"))
+def report_site_report_all_subsets(spark, sf_dir):
+    return show(_report(spark, sf_dir))
+
+
 @query("q_report_stratified", sql([STRATA, "long AS (UNPIVOT (SELECT site, target, method, mode, gap_class, subset, units, stratum, coalesce(r2, 'nan') AS r2, coalesce(slope, 'nan') AS slope, coalesce(rmse, 'nan') AS rmse, coalesce(bias, 'nan') AS bias FROM strat) ON r2, slope, rmse, bias INTO NAME metric VALUE v),\nl AS (SELECT * EXCLUDE v, CASE WHEN NOT isnan(v) THEN v END AS v FROM long)"], """
 SELECT target, method, mode, gap_class, subset, units, stratum, metric, count(v) AS n_sites, count(DISTINCT site) AS n_sites_offered, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median,
     round(quantile_cont(v, 0.75), 6) AS q3, CASE WHEN count(v) > 1 THEN round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) END AS iqr FROM l GROUP BY ALL"""))
