@@ -3,8 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from tidemark.llm import near_dedup
+from tidemark.llm import common, near_dedup
 from tidemark.llm.near_dedup import bag_signatures, classes, one_of_each
 from tidemark.llm.shingles import multisets, word_shingles
 
@@ -68,6 +69,15 @@ def test_classes_equal_brute_force(documents):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("options", [{"stars": 1, "growth": 2, "few": 2}, {"broadcast_rows": -1, "few": 2}])
+def test_every_way_through_the_rounds_equals_brute_force(documents, options, monkeypatch):
+    """No stars after the first, pivots deferred in any bucket over two, texts by shuffle, keys hot from three rows on."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = corpus(seed=8, groups=3, copies=14)
+    got = {r["doc_id"]: r["class_id"] for r in classes(documents(rows), **options).collect()}
+    assert got == brute(rows)
+
+
 def test_chain_through_a_base_that_is_not_the_pivot(documents):
     """Copies that are near the base but not each other still share its class."""
     base = [f"b{i}" for i in range(200)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,14 @@ _own: dict[str, str] = {}  # by application, where no folder is set
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode where none is set (tests)."""
     try:
         root = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # not set
         root = None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="tidemark-")
     return root
@@ -39,6 +42,27 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than this share of the rows; so there are at most as many hot keys as its inverse.
+HOT_SHARE, HOT_ROWS = 1 / 10_000, 1_000
+
+
+def hot_edge(total: int) -> int:
+    """Rows beyond which a key is hot in a table of total rows: never more than 1 / HOT_SHARE keys are."""
+    return max(HOT_ROWS, int(total * HOT_SHARE))
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: Sequence[str], load: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined (inner or left_semi) with right, which has one row a key and the number of left's rows with it in load.
+
+    total: the rows of left. Rows of hot keys stay where they are and meet their keys by broadcast, whose number is
+    bounded (hot_edge); the rest shuffles. No task reads a whole hot key. left is read twice, so let it be a written table.
+    """
+    on, edge = list(on), hot_edge(total)
+    hot, cold = right.where(F.col(load) > edge), right.where(F.col(load) <= edge)
+    met = left.join(F.broadcast(hot), on, how)
+    return met.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

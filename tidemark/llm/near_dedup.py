@@ -3,7 +3,8 @@
 A text is a multiset of word shingles. Over the weight axis of each shingle runs a Poisson process of rate 1, the
 same in every text; a signature register keeps the earliest of the points dealt to it that lie below the shingle's
 count. Two registers agree with the weighted Jaccard similarity as probability. The axis is cut at the powers of two,
-so that a shingle of count w takes log2(w) processes, and points of the last piece that lie above w are passed over.
+and each piece is a hierarchy: a process splits into its halves at its first point, and only halves that reach below
+the count and can still lower a register are entered.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mix64, text_or_empty, write_shared
+from .common import WORD, join_spread, mix64, text_or_empty, write_shared
 from .shingles import in_chunks, multisets, word_shingles
 
 WORDS, SIMILARITY = 5, 0.8
@@ -25,7 +26,12 @@ BROADCAST_ROWS = 200_000
 
 
 def bag_signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int, registers: int) -> np.ndarray:
-    """texts x registers of point times; infinite for a text without shingles."""
+    """texts x registers of point times; infinite for a text without shingles.
+
+    A process gives its first point, then splits into its two halves, which go on from that time; one of unit width
+    gives its next point itself. So the points do not depend on the weight of a text, halves above the weight are
+    never entered, and none is followed beyond the time at which all registers of its text are surely lower.
+    """
     signature = np.full(texts * registers, np.inf)
     weight = np.bincount(owner, count, texts)
     open_texts, slack = weight > 0, 4.0
@@ -33,23 +39,33 @@ def bag_signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, te
         horizon = np.where(open_texts, registers * (np.log(registers) + slack) / np.maximum(weight, 1), -1.0)
         piece = 0
         while True:  # piece 0 is [0, 1), piece p is [2**(p-1), 2**p)
-            low = 0 if piece == 0 else 1 << (piece - 1)
-            at = np.flatnonzero((count > low) & open_texts[owner])
+            least = 0 if piece == 0 else 1 << (piece - 1)
+            at = np.flatnonzero((count > least) & open_texts[owner])
             if not len(at):
                 break
-            rate = max(1, low)
+            own, upto = owner[at], count[at]
+            low, width = np.full(len(at), least, np.int64), np.full(len(at), max(1, least), np.int64)
             state = mix64(shingle[at] + np.uint64(0x632BE59BD9B4E019 * (piece + 1) & (1 << 64) - 1))
-            time, own, upto = np.zeros(len(at)), owner[at], count[at]
+            time = np.zeros(len(at))
             while len(time):
                 state = mix64(state + np.uint64(0x9E3779B97F4A7C15))
-                time = time - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
+                time = time - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
                 on = time <= horizon[own]
-                state, time, own, upto = state[on], time[on], own[on], upto[on]
+                state, time, own, upto, low, width = (x[on] for x in (state, time, own, upto, low, width))
                 draw = mix64(state ^ np.uint64(0xA0761D6478BD642F))
                 register = (draw & np.uint64(0xFFFFFFFF)).astype(np.int64) * registers >> 32
-                level = low + ((draw >> np.uint64(32)).astype(np.int64) * rate >> 32)
+                level = low + ((draw >> np.uint64(32)).astype(np.int64) * width >> 32)
                 below = level < upto
                 np.minimum.at(signature, own[below] * registers + register[below], time[below])
+                wide = np.flatnonzero(width > 1)
+                if len(wide):
+                    half = width[wide] >> 1
+                    width[wide] = half
+                    up = low[wide] + half < upto[wide]  # the upper half reaches below the weight
+                    wide, half = wide[up], half[up]
+                    state = np.concatenate([state, mix64(state[wide] ^ np.uint64(0x8EBC6AF09C88C6E3))])
+                    low = np.concatenate([low, low[wide] + half])
+                    time, own, upto, width = (np.concatenate([x, x[wide]]) for x in (time, own, upto, width))
             piece += 1
         filled = np.isfinite(signature.reshape(texts, registers)).all(1)
         open_texts &= ~filled
@@ -86,16 +102,17 @@ def overlap_share(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return shared / (a[1].sum() + b[1].sum() - shared)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, group_rows: int = 128) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, group_bytes: int = 2 << 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The pairs (pivot, node) whose texts' shingles overlap enough.
 
-    The members of a pivot are dealt into groups of about group_rows, each of which gets the pivot's text once. Few
-    pairs (by count) go to the texts by broadcast; more are joined by shuffle.
+    The members of a pivot are dealt into groups of about group_bytes bytes of text, each of which gets the pivot's
+    text once. Few pairs (counted; broadcast_rows) go to the texts by broadcast; more are joined by shuffle.
     """
-    few = pairs.count() <= BROADCAST_ROWS
-    load = pairs.groupBy("pivot").agg(F.count("*").alias("load"))
-    pairs = pairs.join(load, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("load") / group_rows)).cast("int")).drop("load")
-    pairs = write_shared(pairs, "near-pairs")
+    few = pairs.count() <= broadcast_rows
+    pairs = pairs.join(texts.select("node", "n_bytes"), "node")
+    load = pairs.groupBy("pivot").agg(F.sum("n_bytes").alias("load"))
+    part = F.pmod(F.xxhash64("node"), F.ceil((F.col("load") + 1) / group_bytes)).cast("int")
+    pairs = write_shared(pairs.join(load, "pivot").select("pivot", "node", part.alias("part")), "near-pairs")
     heads = pairs.select(F.col("pivot").alias("node"), "part").distinct()
     by_size = F.broadcast if few else (lambda df: df)
     members = texts.join(by_size(pairs), "node").select("pivot", "part", "node", "text")
@@ -141,85 +158,135 @@ def components(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
     tied = edges.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()
     edges = least.select(F.col("m").alias("a"), "b").unionByName(tied)
-    both = write_shared(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = write_shared(both, "near-edges")
+    total = both.count()
+    degree = write_shared(both.groupBy("b").agg(F.count("*").alias("_n")), "near-degrees")
     labels = write_shared(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("comp")), "near-labels")
     while True:
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
+        held = degree.join(labels.withColumnRenamed("node", "b"), "b")
+        around = join_spread(both, held, ["b"], "_n", total).groupBy("a").agg(F.min("comp").alias("near"))
         new = labels.join(around, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("comp").alias("above"))
-        new = write_shared(new.join(up, "low").select("node", F.least("low", "above").alias("new"), "comp"), "near-labels")
+        new = write_shared(new, "near-lower")
+        up = new.groupBy("low").agg(F.count("*").alias("_n"))
+        up = up.join(labels.select(F.col("node").alias("low"), F.col("comp").alias("above")), "low")
+        new = join_spread(new, up, ["low"], "_n", total).select("node", F.least("low", "above").alias("new"), "comp")
+        new = write_shared(new, "near-labels")
         moved = new.where("new <> comp").limit(1).count()
         labels = new.select("node", F.col("new").alias("comp"))
         if not moved:
             return labels
 
 
-def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, growth: int = 8) -> DataFrame:
+def classes(
+    docs: DataFrame,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    stars: int = 4,
+    growth: int = 16,
+    few: int = 64,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """doc_id, node, class_id (the class's smallest doc_id), class_size (rows) for each row of docs.
 
-    Equal texts are one node from the start, so copies never meet as pairs. In a bucket of the bands, all members are
-    verified against one pivot first. Buckets that still hold several components go on: each round takes growth times
-    as many pivots, drawn by hash, until every member has been one; pairs that are in one component by then, or have
-    been verified before, are left out, and so are pairs that cannot reach the similarity because too many of their
-    shingles occur in no other text that is still in question. So every pair that shares a bucket is verified, ruled
-    out by its counts or already linked through others; members of large groups of near copies are soon in one
-    component or ruled out.
+    Equal texts are one node from the start, so copies never meet as pairs. Stars come first: the members of a bucket
+    of the bands are verified against one pivot, the next time (stars in all) against another one of those that share
+    most with others; what is in the pivot's component by then is left out. In buckets of over few members a member
+    is held against three of its pivots at most in one go. Then the rest: in buckets that still hold several
+    components, all members outside of its most frequent one against more and more of all members (growth times as
+    many each round, drawn by hash) until every pair has been verified, or is in one component, or cannot reach the
+    similarity because too many of its shingles occur in no other text that is still in question. So no pair that
+    shares a bucket is left open, and members of large groups of near copies are soon in one component or ruled out.
 
     Null or empty texts, or of white space only, have no shingles: each of them is a class with its equals in text.
-    Texts of fewer than five words are near only if their words are equal. Repeated rows: one class. A null doc_id is
-    a row like others; a class of such rows alone has a null class_id. Empty table: no rows.
+    Texts of fewer than five words are near only if their words are equal. Very long texts are read whole; a group to
+    verify holds a bounded number of bytes, or one text. Repeated rows: one class. A null doc_id is a row like others;
+    a class of such rows alone has a null class_id. Extra columns do not matter. Empty table: no rows.
     """
     found = write_shared(signatures(docs, words, bands, rows), "near-signatures")
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = write_shared(nodes, "near-nodes")
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
-    members = write_shared(spread.join(shared, "bucket"), "near-members")
-    largest = members.agg(F.max("n")).first()[0]
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    shared = write_shared(shared, "near-buckets")
+    members = write_shared(join_spread(spread, shared, ["bucket"], "n", nodes.count() * bands), "near-members")
+    total, largest = members.agg(F.count("*"), F.max("n")).first()
     if largest is None:
         return _named(found, nodes, None)
 
     text = text_or_empty()
-    whole = docs.select(F.unhex(F.md5(text)).alias("node"), text.alias("text"))
+    whole = docs.select(F.unhex(F.md5(text)).alias("node"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     texts = whole.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     texts = write_shared(texts, "near-texts")
-
-    pairs = members.where("node <> head").select(F.col("head").alias("pivot"), "node").distinct()
-    links = write_shared(verified(pairs, texts, words, similarity), "near-links")
-    checked, comps = pairs, components(links.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    width, weights = 1, None
-    while width < largest:
-        width *= growth
-        at = members.join(comps, "node", "left").select("bucket", "node", "head", "n", F.coalesce("comp", "node").alias("comp"))
-        mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        place = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 31)) / float(1 << 31) * F.col("n")
-        rest = at.where("n > 2 and node <> head").join(mixed, "bucket").withColumn("place", place)
+    check = lambda pairs: write_shared(verified(pairs, texts, words, similarity, broadcast_rows=broadcast_rows), "near-links")
+    as_edges = lambda links: links.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+
+    small = members.where((F.col("n") <= few) & (F.col("node") != F.col("pivot"))).select("pivot", "node")
+    large = members.where((F.col("n") > few) & (F.col("node") != F.col("pivot"))).select("pivot", "node")
+    checked = write_shared(small.unionByName(_some_pivots(large)).distinct(), "near-met")
+    comps = components(as_edges(check(checked)))
+    weights, width = None, 1
+    for step in range(1, 100):
+        at = members.where("n > 2").join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("_n")).where("lo <> hi").select("bucket", "_n")
+        rest = write_shared(join_spread(write_shared(at, "near-at"), mixed, ["bucket"], "_n", total).drop("_n"), "near-rest")
         if weights is None:
-            rest = write_shared(rest, "near-rest")
             asked = texts.join(rest.select("node").distinct(), "node", "left_semi")
             weights = write_shared(shared_weights(asked, words), "near-weights")
         # what a text shares with no other cannot be in an overlap
         rest = write_shared(rest.join(weights, "node").where(F.col("common") >= similarity * F.col("size") - 1e-9), "near-rest")
-        p = rest.where(F.col("place") < width).select("bucket", *[F.col(c).alias(f"pivot{d}") for c, d in (("node", ""), ("comp", "_comp"), ("size", "_size"), ("common", "_common"))])
+        if not rest.limit(1).count():
+            break
         most = F.least("common", "pivot_common")  # of the overlap
-        near = most >= similarity * (F.col("size") + F.col("pivot_size") - most) - 1e-9
-        met = p.join(rest, "bucket").where(near & F.expr(f"pivot_comp <> comp and (node > pivot or place >= {width})"))
+        near = (most >= similarity * (F.col("size") + F.col("pivot_size") - most) - 1e-9) & (F.col("pivot_comp") != F.col("comp"))
+        as_pivot = [F.col(c).alias(f"pivot{d}") for c, d in (("node", ""), ("comp", "_comp"), ("size", "_size"), ("common", "_common"))]
+        if step < stars:
+            # of a half of a bucket's members, drawn anew each time, the one with the least share of its own
+            rare = (F.col("size") - F.col("common")) / F.col("size") + F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2))
+            heads = rest.groupBy("bucket").agg(F.min(F.struct(rare.alias("rare"), F.xxhash64("node").alias("draw"), *as_pivot)).alias("h"), F.count("*").alias("_n"))
+            heads = heads.select("bucket", "_n", "h.pivot", "h.pivot_comp", "h.pivot_size", "h.pivot_common")
+            met = _some_pivots(join_spread(rest, heads, ["bucket"], "_n", total).where(near).select("pivot", "node"))
+        elif width >= largest:
+            break
+        else:
+            width *= growth
+            held = rest.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+            main = held.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("_n")).select("bucket", "_n", F.col("most.comp").alias("main"))
+            parts = F.ceil(F.col("n") / 4096).cast("int")
+            minor = join_spread(rest, main, ["bucket"], "_n", total).where("comp <> main")
+            minor = minor.select("bucket", "node", "comp", "size", "common", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+            place = F.pmod(F.xxhash64("node"), F.lit(1 << 31)) / float(1 << 31) * F.col("n")
+            others = rest.where(place < width).select("bucket", F.pmod(F.xxhash64(F.lit(7), "node"), parts).cast("int").alias("part"), *as_pivot)
+            met = minor.join(others, ["bucket", "part"]).where(near).select("pivot", "node")
         met = met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
         met = write_shared(met.join(checked, ["pivot", "node"], "left_anti"), "near-met")
         if met.limit(1).count():
-            fresh = write_shared(verified(met, texts, words, similarity), "near-links")
+            fresh = check(met)
             checked = checked.unionByName(met)
             edges = comps.where("comp <> node").select(F.col("comp").alias("pivot"), "node").unionByName(fresh)
-            comps = components(edges.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+            comps = components(as_edges(edges))
     return _named(found, nodes, comps)
 
 
+def _some_pivots(pairs: DataFrame, some: int = 3) -> DataFrame:
+    """pivot, node: of each node's pivots some, drawn by hash and each once. The others' turn comes later."""
+    drawn = pairs.groupBy("node").agg(F.collect_set("pivot").alias("pivots"))
+    drawn = drawn.select("node", F.slice(F.array_sort(F.transform("pivots", lambda p: F.struct(F.xxhash64(p).alias("draw"), p.alias("pivot")))), 1, some).alias("pivots"))
+    return drawn.select(F.explode("pivots.pivot").alias("pivot"), "node")
+
+
 def _named(found: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
     slim = nodes.select("node", "least", "copies")
     slim = slim.withColumn("comp", F.col("node")) if comps is None else slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = slim.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("kept"))
-    of_node = slim.join(named, "comp").select("node", "class_id", "class_size", F.col("kept.node").alias("kept_node"))
-    return found.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", "class_id", "class_size", "kept_node")
+    slim = write_shared(slim, "near-slim")
+    named = slim.groupBy("comp").agg(
+        F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("kept"), F.count("*").alias("_n")
+    )
+    of_node = join_spread(slim, write_shared(named, "near-named"), ["comp"], "_n", slim.count()).select("node", "copies", "class_id", "class_size", F.col("kept.node").alias("kept_node"))
+    rows = found.select("doc_id", "node")
+    return join_spread(rows, write_shared(of_node, "near-classes"), ["node"], "copies", rows.count()).select("doc_id", "node", "class_id", "class_size", "kept_node")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

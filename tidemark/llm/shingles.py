@@ -52,7 +52,7 @@ def multisets(owners: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return o[at], h[at], np.diff(np.concatenate([at, [len(o)]]))
 
 
-def in_chunks(texts: Sequence[bytes], size: int = 4 << 20) -> Iterator[tuple[int, Sequence[bytes]]]:
+def in_chunks(texts: Sequence[bytes], size: int = 1 << 20) -> Iterator[tuple[int, Sequence[bytes]]]:
     """(number of the first, texts) of runs of whole texts of about this many bytes."""
     first = 0
     while first < len(texts):
