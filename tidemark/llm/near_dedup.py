@@ -9,11 +9,12 @@ the count and can still lower a register are entered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, join_spread, mix64, text_or_empty, write_shared
@@ -102,39 +103,46 @@ def overlap_share(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return shared / (a[1].sum() + b[1].sum() - shared)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, group_bytes: int = 2 << 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The pairs (pivot, node) whose texts' shingles overlap enough.
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, group_bytes: int = 4 << 20, group_pairs: int = 40_000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The pairs (pivot, node) whose texts' shingles overlap enough. texts: node, text, n_bytes.
 
-    The members of a pivot are dealt into groups of about group_bytes bytes of text, each of which gets the pivot's
-    text once. Few pairs (counted; broadcast_rows) go to the texts by broadcast; more are joined by shuffle.
+    Pivots and nodes are dealt into blocks, and a group is the pairs of two blocks with the texts they need, each
+    once. There are so many blocks that groups hold about group_bytes of text and group_pairs pairs; a pivot with
+    more than its share is dealt on. Few pairs (counted; broadcast_rows) go to the texts by broadcast; more shuffle.
     """
-    few = pairs.count() <= broadcast_rows
-    pairs = pairs.join(texts.select("node", "n_bytes"), "node")
-    load = pairs.groupBy("pivot").agg(F.sum("n_bytes").alias("load"))
-    part = F.pmod(F.xxhash64("node"), F.ceil((F.col("load") + 1) / group_bytes)).cast("int")
-    pairs = write_shared(pairs.join(load, "pivot").select("pivot", "node", part.alias("part")), "near-pairs")
-    heads = pairs.select(F.col("pivot").alias("node"), "part").distinct()
-    by_size = F.broadcast if few else (lambda df: df)
-    members = texts.join(by_size(pairs), "node").select("pivot", "part", "node", "text")
-    heads = texts.join(by_size(heads), "node")
-    heads = heads.select(*[F.col(c).alias(n) for c, n in (("node", "pivot"), ("part", "part"), ("text", "text"))])  # columns of its own
+    sizes = texts.select("node", "n_bytes")
+    load = F.col("n_bytes") + F.col("pivot_bytes")
+    pairs = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("pivot"), F.col("n_bytes").alias("pivot_bytes")), "pivot")
+    pairs = write_shared(pairs, "near-pairs")
+    n, of_pairs = pairs.agg(F.count("*"), F.coalesce(F.sum(load), F.lit(0))).first()
+    asked = pairs.select("pivot", "pivot_bytes").unionByName(pairs.select(F.col("node").alias("pivot"), F.col("n_bytes").alias("pivot_bytes"))).distinct()
+    of_texts = asked.agg(F.coalesce(F.sum("pivot_bytes"), F.lit(0))).first()[0]
+    # bytes of a group: at most those of its pairs, of its texts; the fewest blocks that keep both bounds
+    blocks = math.ceil(max(math.sqrt(n / group_pairs), min(math.sqrt(of_pairs / group_bytes), 2 * of_texts / group_bytes), 1))
+    heavy = pairs.groupBy("pivot").agg((F.ceil(F.sum(load) / (group_bytes * blocks)) + 1).alias("split")).where("split > 3")
+    block = lambda c, of: F.pmod(F.xxhash64(F.lit(of), c), F.lit(blocks))
+    split = F.pmod(F.xxhash64(F.lit(3), "node"), F.coalesce("split", F.lit(1)))  # pivots with many bytes are few: their bytes bound them
+    group = F.xxhash64(block("pivot", 1), block("node", 2), F.when(F.col("split").isNotNull(), F.col("pivot")), split)
+    dealt = write_shared(pairs.join(heavy, "pivot", "left").select("pivot", "node", group.alias("group")), "near-groups")
+    keys = dealt.select("group", "node").unionByName(dealt.select("group", F.col("pivot").alias("node"))).distinct()
+    keys = F.broadcast(keys) if n <= broadcast_rows else keys
+    needed = texts.select("node", "text").join(keys, "node").select(F.col("group").alias("of_group"), "node", "text")
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        if len(left) and len(right):
-            texts = [right["text"].iloc[0].encode()]
-            _, h, c = multisets(*word_shingles(texts, words))
-            for node, text in zip(left["node"], left["text"]):
-                _, g, d = multisets(*word_shingles([text.encode()], words))
-                if overlap_share((h, c), (g, d)) >= similarity - 1e-12:
-                    kept.append(node)
-        return pd.DataFrame({"pivot": [left["pivot"].iloc[0]] * len(kept) if kept else [], "node": kept})
+        at = {node: k for k, node in enumerate(right["node"])}
+        owner, shingle, count = multisets(*word_shingles([t.encode() for t in right["text"]], words))
+        edge = np.searchsorted(owner, np.arange(len(at) + 1))
+        near = [
+            overlap_share((shingle[edge[i] : edge[i + 1]], count[edge[i] : edge[i + 1]]), (shingle[edge[j] : edge[j + 1]], count[edge[j] : edge[j + 1]])) >= similarity - 1e-12
+            for i, j in zip(map(at.get, left["pivot"]), map(at.get, left["node"]))
+        ]
+        return left.loc[near, ["pivot", "node"]]
 
-    return members.groupBy("pivot", "part").cogroup(heads.groupBy("pivot", "part")).applyInPandas(check, "pivot binary, node binary")
+    return dealt.groupBy("group").cogroup(needed.groupBy("of_group")).applyInPandas(check, "pivot binary, node binary")
 
 
-def shared_weights(texts: DataFrame, words: int) -> DataFrame:
-    """node, size (shingles), common (those of them that occur in another of these texts too)."""
+def shared_weights(texts: DataFrame, words: int, kinds: int = 32) -> DataFrame:
+    """node, size (shingles), common (those of them that occur in another of these texts too) and by_kind: common, split by the shingles' hashes."""
 
     def list_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,12 +151,26 @@ def shared_weights(texts: DataFrame, words: int) -> DataFrame:
                 owner, shingle, count = multisets(*word_shingles(part, words))
                 yield pd.DataFrame({"node": nodes[at + owner], "shingle": shingle.view(np.int64), "count": count})
 
+    def count_kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = []
+            for _, part in in_chunks([t.encode() for t in batch["text"]]):
+                owner, shingle = word_shingles(part, words)
+                kind = owner * kinds + (shingle % np.uint64(kinds)).astype(np.int64)
+                counts += list(np.bincount(kind, minlength=len(part) * kinds).reshape(-1, kinds))
+            yield pd.DataFrame({"node": batch["node"], "sizes": counts})
+
     held = texts.mapInPandas(list_shingles, "node binary, shingle long, count long")
     alone = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("count").alias("count")).where("n = 1")
-    alone = alone.groupBy("node").agg(F.sum("count").alias("alone"))
-    size = F.greatest(F.regexp_count("text", F.lit(WORD)) - (words - 1), F.lit(1)).cast("long")
-    sized = texts.select("node", size.alias("size")).join(alone, "node", "left")
-    return sized.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    # 2**64 divides by kinds, a power of two, so a negative long has the same remainder
+    alone = alone.groupBy("node").agg(F.array(*[F.sum(F.when(F.pmod("shingle", F.lit(kinds)) == k, F.col("count")).otherwise(0)) for k in range(kinds)]).alias("alone"))
+    sized = texts.mapInPandas(count_kinds, "node binary, sizes array<long>").join(alone, "node", "left")
+    by_kind = F.when(F.col("alone").isNull(), F.col("sizes")).otherwise(F.zip_with("sizes", "alone", lambda a, b: a - b))
+    return sized.select("node", _sum("sizes").alias("size"), by_kind.alias("by_kind")).withColumn("common", _sum("by_kind"))
+
+
+def _sum(array) -> Column:
+    return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,8 +206,8 @@ def classes(
     similarity: float = SIMILARITY,
     bands: int = BANDS,
     rows: int = ROWS,
-    stars: int = 4,
-    growth: int = 16,
+    stars: int = 2,
+    growth: int = 64,
     few: int = 64,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -197,7 +219,8 @@ def classes(
     is held against three of its pivots at most in one go. Then the rest: in buckets that still hold several
     components, all members outside of its most frequent one against more and more of all members (growth times as
     many each round, drawn by hash) until every pair has been verified, or is in one component, or cannot reach the
-    similarity because too many of its shingles occur in no other text that is still in question. So no pair that
+    similarity because too many of its shingles occur in no other text that is still in question (counted apart for
+    shingles of 32 kinds, which tells apart copies of one text that were changed at different places). So no pair that
     shares a bucket is left open, and members of large groups of near copies are soon in one component or ruled out.
 
     Null or empty texts, or of white space only, have no shingles: each of them is a class with its equals in text.
@@ -217,8 +240,10 @@ def classes(
         return _named(found, nodes, None)
 
     text = text_or_empty()
-    whole = docs.select(F.unhex(F.md5(text)).alias("node"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    texts = whole.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    one = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("_node"), "least")
+    # by node and id, so that the rows of a text with many copies do not meet
+    texts = whole.join(one, (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("least")), "left_semi").dropDuplicates(["node"]).drop("_id")
     texts = write_shared(texts, "near-texts")
     check = lambda pairs: write_shared(verified(pairs, texts, words, similarity, broadcast_rows=broadcast_rows), "near-links")
     as_edges = lambda links: links.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
@@ -228,7 +253,9 @@ def classes(
     checked = write_shared(small.unionByName(_some_pivots(large)).distinct(), "near-met")
     comps = components(as_edges(check(checked)))
     weights, width = None, 1
-    for step in range(1, 100):
+    step = 0
+    while step < stars - 1 or width < largest:
+        step += 1
         at = members.where("n > 2").join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
         mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("_n")).where("lo <> hi").select("bucket", "_n")
         rest = write_shared(join_spread(write_shared(at, "near-at"), mixed, ["bucket"], "_n", total).drop("_n"), "near-rest")
@@ -239,24 +266,24 @@ def classes(
         rest = write_shared(rest.join(weights, "node").where(F.col("common") >= similarity * F.col("size") - 1e-9), "near-rest")
         if not rest.limit(1).count():
             break
-        most = F.least("common", "pivot_common")  # of the overlap
-        near = (most >= similarity * (F.col("size") + F.col("pivot_size") - most) - 1e-9) & (F.col("pivot_comp") != F.col("comp"))
-        as_pivot = [F.col(c).alias(f"pivot{d}") for c, d in (("node", ""), ("comp", "_comp"), ("size", "_size"), ("common", "_common"))]
+        # bounds of the overlap, the cheap one first
+        enough = lambda most: most >= similarity * (F.col("size") + F.col("pivot_size") - most) - 1e-9
+        by_kind = _sum(F.zip_with("by_kind", "pivot_by_kind", lambda a, b: F.least(a, b)))
+        near = (F.col("pivot_comp") != F.col("comp")) & enough(F.least("common", "pivot_common")) & enough(by_kind)
+        as_pivot = [F.col(c).alias(f"pivot{d}") for c, d in (("node", ""), ("comp", "_comp"), ("size", "_size"), ("common", "_common"), ("by_kind", "_by_kind"))]
         if step < stars:
             # of a half of a bucket's members, drawn anew each time, the one with the least share of its own
             rare = (F.col("size") - F.col("common")) / F.col("size") + F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2))
             heads = rest.groupBy("bucket").agg(F.min(F.struct(rare.alias("rare"), F.xxhash64("node").alias("draw"), *as_pivot)).alias("h"), F.count("*").alias("_n"))
-            heads = heads.select("bucket", "_n", "h.pivot", "h.pivot_comp", "h.pivot_size", "h.pivot_common")
+            heads = heads.select("bucket", "_n", "h.pivot", "h.pivot_comp", "h.pivot_size", "h.pivot_common", "h.pivot_by_kind")
             met = _some_pivots(join_spread(rest, heads, ["bucket"], "_n", total).where(near).select("pivot", "node"))
-        elif width >= largest:
-            break
         else:
             width *= growth
             held = rest.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
             main = held.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("_n")).select("bucket", "_n", F.col("most.comp").alias("main"))
             parts = F.ceil(F.col("n") / 4096).cast("int")
             minor = join_spread(rest, main, ["bucket"], "_n", total).where("comp <> main")
-            minor = minor.select("bucket", "node", "comp", "size", "common", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+            minor = minor.select("bucket", "node", "comp", "size", "common", "by_kind", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
             place = F.pmod(F.xxhash64("node"), F.lit(1 << 31)) / float(1 << 31) * F.col("n")
             others = rest.where(place < width).select("bucket", F.pmod(F.xxhash64(F.lit(7), "node"), parts).cast("int").alias("part"), *as_pivot)
             met = minor.join(others, ["bucket", "part"]).where(near).select("pivot", "node")
