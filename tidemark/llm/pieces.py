@@ -30,7 +30,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _UNKNOWN_CHAR = 1 << 24
 _NEVER = 1 << 40
 #: Characters of new words that are matched at a time: their edges, about four a character, are in memory together.
-WORD_CHARS = 1 << 19
+WORD_CHARS = 1 << 17
+#: Longer words are cut into sections of so many characters, which overlap by MARGIN on both sides.
+SECTION, MARGIN = 512, 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -208,8 +210,24 @@ class PieceModel:
         return order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)], piece
 
 
+class _Sections(Sequence):
+    """The sections of a word with their margins, cut when they are asked for."""
+
+    def __init__(self, word: str, cores: list[tuple[int, int]]):
+        self.word, self.cores = word, cores
+
+    def __len__(self) -> int:
+        return len(self.cores)
+
+    def __getitem__(self, k):
+        if isinstance(k, slice):
+            return _Sections(self.word, self.cores[k])
+        a, b = self.cores[k]
+        return self.word[max(0, a - MARGIN) : b + MARGIN]
+
+
 class Encoder:
-    """Encodes texts by their words; words seen before are kept, up to a bound."""
+    """Encodes texts by their words; words seen before are kept, up to a bound of their characters, beyond which those met once go."""
 
     _WORD = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -222,17 +240,29 @@ class Encoder:
             self.fresh.append(word)
             return at
 
-    def __init__(self, model: PieceModel, most_words: int = 300_000):
-        self.model, self.most = model, most_words
+    def __init__(self, model: PieceModel, most_chars: int = 2 << 20):
+        self.model, self.most = model, most_chars
         self._clear()
 
     def _clear(self) -> None:
-        self.index = self._Index()
-        self.tokens, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.index, self.chars = self._Index(), 0
+        self.tokens, self.sizes, self.met = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _thin_out(self) -> None:
+        keep = self.met > 1
+        words = [w for w, k in zip(self.index, keep) if k]
+        chars = sum(map(len, words))
+        if chars > self.most / 2:
+            self._clear()
+            return
+        self.index.clear()
+        self.index.update((w, k) for k, w in enumerate(words))
+        self.tokens, self.sizes, self.met = self.tokens[np.repeat(keep, self.sizes)], self.sizes[keep], np.zeros(len(words), np.int64)
+        self.chars = chars
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        if len(self.index) > self.most:
-            self._clear()
+        if self.chars > self.most:
+            self._thin_out()
         m, look = self.model, self.index.__getitem__
         words, counts = [], []
         for t in texts:
@@ -242,18 +272,88 @@ class Encoder:
             words += map(look, found)
             counts.append(len(found))
         if self.index.fresh:
-            parts = [self._encode_words(part) for _, part in in_chunks(self.index.fresh, WORD_CHARS)]
-            self.tokens = np.concatenate([self.tokens, *(t for t, _ in parts)])
-            self.sizes = np.concatenate([self.sizes, *(n for _, n in parts)])
-            self.index.fresh.clear()
+            fresh, at = self.index.fresh, np.array([len(w) for w in self.index.fresh])
+            self.chars += int(at.sum())
+            long = at > SECTION + MARGIN
+            short = [w for w, over in zip(fresh, long) if not over]
+            parts = [self._fall_back(*self._paths(part)) for _, part in in_chunks(short, WORD_CHARS)]
+            tokens, sizes = (np.concatenate([*(p[k] for p in parts), np.zeros(0, t)]) for k, t in ((0, np.int32), (1, np.int64)))
+            if long.any():
+                parts, taken = np.split(tokens, np.cumsum(sizes)[:-1]) if len(sizes) else [], iter(range(len(sizes)))
+                each = [self._fall_back(p := self._long_path(w), np.array([len(p)]))[0] if over else parts[next(taken)] for w, over in zip(fresh, long)]
+                tokens, sizes = np.concatenate(each), np.array([len(e) for e in each])
+            self.tokens, self.sizes = np.concatenate([self.tokens, tokens]), np.concatenate([self.sizes, sizes])
+            fresh.clear()
         words = np.array(words, np.int64)
+        self.met = np.concatenate([self.met, np.zeros(len(self.sizes) - len(self.met), np.int64)]) + np.bincount(words, minlength=len(self.sizes))
         starts, size = np.cumsum(self.sizes) - self.sizes, self.sizes[words] if len(words) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.tokens[np.repeat(starts[words] - total[:-1], size) + np.arange(total[-1])] if len(words) else self.tokens[:0]
         return np.split(ids, total[np.cumsum(counts)][:-1]) if counts else []
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens end to end, number of tokens) of each word."""
+    def _long_path(self, word: str) -> np.ndarray:
+        """Pieces of a word of any length: sections are encoded apart and joined where both paths have a bound.
+
+        A row of pieces is the encoding if all neighbours can follow, so a seam is right if its two pieces can. Where
+        no bound in the overlap passes, the right section is encoded again from a bound of the left one, which helps
+        with runs of one pattern; where that does not, the two become one section.
+        """
+        m, n = self.model, len(word)
+        sizes = np.array([len(s) for s in m.symbols])
+
+        def placed(piece: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+            size = np.where(piece < len(sizes), sizes[np.minimum(piece, len(sizes) - 1)], 1)
+            return piece, at + np.cumsum(size) - size
+
+        def shared(left: tuple, right: tuple, end: int) -> np.ndarray:
+            """(piece before, piece after, place) of the bounds that both paths have near end."""
+            (p, s), (q, t) = left, right
+            low = np.searchsorted(s, end - MARGIN)
+            _, i, j = np.intersect1d(s[low:], t[: np.searchsorted(t, end + MARGIN)], assume_unique=True, return_indices=True)
+            i += low
+            i, j = i[i > 0], j[i > 0]
+            return np.stack([p[i - 1], q[j], t[j]], 1)
+
+        def first_good(pairs: np.ndarray) -> int | None:
+            good = np.flatnonzero(m.can_follow(pairs[:, 0], pairs[:, 1]))
+            return int(pairs[good[0], 2]) if len(good) else None
+
+        cores = [(a, min(n, a + SECTION)) for a in range(0, n, SECTION)]
+        while True:
+            paths = []
+            for at, part in in_chunks(_Sections(word, cores), WORD_CHARS):
+                ids, count = self._paths(list(part))
+                paths += [placed(piece, max(0, core[0] - MARGIN)) for core, piece in zip(part.cores, np.split(ids, np.cumsum(count)[:-1]))]
+            met = [shared(a, b, core[1]) for a, b, core in zip(paths, paths[1:], cores)]
+            pairs = np.concatenate([*met, np.zeros((0, 3), np.int64)])
+            good = m.can_follow(pairs[:, 0], pairs[:, 1])
+            which, first = np.unique(np.repeat(np.arange(len(met)), [len(x) for x in met])[good], return_index=True)
+            bound: list[int | None] = [None] * len(met)
+            for k, place in zip(which.tolist(), pairs[good][first, 2].tolist()):
+                bound[k] = place
+            changed = False  # is the left path another one than the bounds were looked up for?
+            for k, core in enumerate(cores[:-1]):
+                if changed:
+                    bound[k] = first_good(shared(paths[k], paths[k + 1], core[1]))
+                changed = bound[k] is None
+                if changed:
+                    start = paths[k][1]
+                    at = int(start[min(np.searchsorted(start, core[1] - MARGIN), len(start) - 1)])
+                    paths[k + 1] = placed(self._paths([word[at : cores[k + 1][1] + MARGIN]])[0], at)
+                    bound[k] = first_good(shared(paths[k], paths[k + 1], core[1]))
+            if None not in bound:
+                cuts = [0, *bound, n]
+                return np.concatenate([p[np.searchsorted(s, a) : np.searchsorted(s, b)] for (p, s), a, b in zip(paths, cuts, cuts[1:])])
+            joined = [cores[0]]
+            for core, place in zip(cores[1:], bound):
+                if place is None:
+                    joined[-1] = (joined[-1][0], core[1])
+                else:
+                    joined.append(core)
+            cores = joined
+
+    def _paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces end to end, number of pieces) of each word; characters without a piece have numbers past the pieces."""
         m = self.model
         points = np.frombuffer("\0".join([*words, ""]).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         length = np.array([len(w) for w in words])
@@ -264,22 +364,25 @@ class Encoder:
         text = np.where(known, at + 2, 1)
         text[sep] = 0
         start, row = m.occurrences(text)
-        piece, end = m.coded[row], start + m.lengths[row]
+        start = start.astype(np.int32)
+        piece, end = m.coded[row].astype(np.int32), start + m.lengths[row].astype(np.int32)
+        del text, row
         # characters that are no piece are edges as well
         alone = ~known if not len(m.symbols) > len(m.pieces) else ~known | (m.symbol_of[at] >= len(m.pieces))
         alone[sep] = False
-        odd = np.flatnonzero(alone)
+        odd = np.flatnonzero(alone).astype(np.int32)
         start, end = np.concatenate([start, odd]), np.concatenate([end, odd + 1])
-        piece = np.concatenate([piece, np.where(known[odd], m.symbol_of[at[odd]], _UNKNOWN_CHAR + points[odd])])
-        word = np.searchsorted(begin, start, "right") - 1
-        step = end - begin[word]
+        piece = np.concatenate([piece, np.where(known[odd], m.symbol_of[at[odd]], _UNKNOWN_CHAR + points[odd]).astype(np.int32)])
+        word_at = begin[np.repeat(np.arange(len(words)), length + 1)].astype(np.int32)  # where the word of a place begins
+        step = end - word_at[start]
         order = np.argsort(step, kind="stable")
         start, end, piece, step = start[order], end[order], piece[order], step[order]
-        first = start == begin[word[order]]
+        del order
+        first = start == word_at[start]
         last = np.full(len(points) + 1, -1)  # the piece that the path to a position ends with
         edge = np.concatenate([[0], np.flatnonzero(step[1:] != step[:-1]) + 1, [len(step)]]) if len(step) else [0]
         for a, b in zip(edge, edge[1:]):
-            s, p, f = start[a:b], piece[a:b], first[a:b]
+            s, p, f = start[a:b], piece[a:b].astype(np.int64), first[a:b]
             before = last[s]
             good = f.copy()
             ask = np.flatnonzero(~f & (before >= 0))
@@ -299,14 +402,14 @@ class Encoder:
             on = here > begin[at_word]
             at_word, here = at_word[on], here[on]
         if not parts:
-            return np.zeros(0, np.int32), n_of
+            return np.zeros(0, np.int64), n_of
         # the k-th from the end of a word
         owner, token = np.concatenate([w for w, _ in parts]), np.concatenate([p for _, p in parts])
         k = np.repeat(np.arange(len(parts)), [len(w) for w, _ in parts])
         slot = np.cumsum(n_of)[owner] - 1 - k
         ids = np.empty(len(token), np.int64)
         ids[slot] = token
-        return self._fall_back(ids, n_of)
+        return ids, n_of
 
     def _fall_back(self, ids: np.ndarray, n_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become their bytes, or the unknown piece where the model has no bytes."""
@@ -344,12 +447,14 @@ def decode(model: PieceModel, ids: Sequence[np.ndarray]) -> list[str]:
     return out
 
 
-def encode_documents(docs: DataFrame, model_path: str, keep: Sequence[str] = ("doc_id",), chunk_chars: int = 4 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, keep: Sequence[str] = ("doc_id",), chunk_chars: int = 1 << 20) -> DataFrame:
     """The columns in keep, then ids (the encoding), n_pieces, decoded_sha256 (of the UTF-8 of the decoded text) and round_trip for each row.
 
     round_trip: does decoding give the text again, U+2581 taken as the blank that the model takes it for? Null or empty
-    text: no ids, round trip true. Repeated rows: equal results. The model file is read on the driver and sent to the
-    tasks with the function; its size does not depend on the data. Kept columns must not bear a name of the result.
+    text: no ids, round trip true. Very long texts, with blanks or without, are encoded whole in bounded work: new words
+    by WORD_CHARS characters, long words by sections. Repeated rows: equal results. Empty table: no rows. The model file
+    is read on the driver and sent to the tasks with the function; its size does not depend on the data. A kept column
+    that bears a name of the result gets "input_" before it.
     """
     model = PieceModel(model_path)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -358,17 +463,21 @@ def encode_documents(docs: DataFrame, model_path: str, keep: Sequence[str] = ("d
         m = shared.value
         encoder = Encoder(m)
         for texts in batches:
-            rows, at, texts = [], 0, texts.tolist()
+            parts, at, texts = [], 0, texts.tolist()
             while at < len(texts):
                 upto, size = at, 0
                 while upto < len(texts) and (upto == at or size + len(texts[upto]) <= chunk_chars):
                     size += len(texts[upto])
                     upto += 1
-                ids = encoder.encode(texts[at:upto])
-                for t, i, back in zip(texts[at:upto], ids, decode(m, ids)):
-                    rows.append((i, len(i), hashlib.sha256(back.encode()).hexdigest(), back == t.replace(SPACE, " ")))
+                ids, same, digests = encoder.encode(texts[at:upto]), [], []
+                for t, back in zip(texts[at:upto], decode(m, ids)):
+                    same.append(back == t.replace(SPACE, " "))
+                    digests.append(hashlib.sha256(back.encode()).hexdigest())
+                parts.append(pd.DataFrame({"ids": ids, "n_pieces": [len(i) for i in ids], "decoded_sha256": digests, "round_trip": same}))
                 at = upto
-            yield pd.DataFrame(rows, columns=["ids", "n_pieces", "decoded_sha256", "round_trip"])
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["ids", "n_pieces", "decoded_sha256", "round_trip"])
 
     encoded = F.pandas_udf(run, "ids array<int>, n_pieces long, decoded_sha256 string, round_trip boolean")
-    return docs.select(*keep, encoded(text_or_empty()).alias("_e")).select(*keep, "_e.*")
+    taken = ("ids", "n_pieces", "decoded_sha256", "round_trip")
+    kept = [F.col(c).alias(f"input_{c}" if c in taken else c) for c in keep]
+    return docs.select(F.struct(*kept).alias("_kept"), encoded(text_or_empty()).alias("_encoded")).select("_kept.*", "_encoded.*")
