@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from tidemark.llm import common
 from tidemark.llm.repeats import led_runs, remove_repeats
 
 
@@ -43,6 +45,22 @@ def test_removal_equals_brute_force(documents):
         assert sorted(map(tuple, got.collect())) == brute(rows, length)
 
 
+def brute_passages(rows, words):
+    held = Counter(p for _, t in rows for p in {tuple(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)})
+    return {d for d, t in rows if any(held[tuple(t.split()[k : k + words])] > 1 for k in range(len(t.split()) - words + 1))}
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, -1])
+def test_every_way_through_the_joins(documents, monkeypatch, broadcast_rows):
+    """Keys hot from three rows on, texts by broadcast and by shuffle; passages against brute force."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = corpus(11)
+    got = remove_repeats(documents(rows), 40, 10, 8, passage=12, broadcast_rows=broadcast_rows).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute(rows, 40)
+    want = brute_passages(rows, 12)
+    assert {r["doc_id"] for r in got if r["shares_passage"]} == want and 0 < len(want) < len(rows)
+
+
 def test_kept_bytes_are_the_remainder(documents):
     rows = corpus(5, 20)
     for r in remove_repeats(documents(rows), 40, 10, 8, kept=True).collect():
@@ -64,6 +82,6 @@ def test_defined_results_for_odd_rows(edge, nothing):
     by = {r["doc_id"]: r for r in rows}
     assert by[1]["n_bytes"] == by[2]["n_bytes"] == 0 and by[1]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
     assert by[6]["n_removed"] == 50_000 and by[6]["n_spans"] == 1  # every string of it starts elsewhere too
-    assert by[5]["n_removed"] == 150_000
+    assert by[5]["n_removed"] == 150_000 and by[5]["shares_passage"] == 0  # its passages are in no other row
     assert by[4]["n_removed"] == 0  # copies shorter than the length
     assert remove_repeats(nothing).count() == 0

@@ -13,15 +13,19 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x3C6EF372FE94F82B * k & (1 << 64) - 1 | 1) for k in range(64)]
 
 
-def word_shingles(texts: Sequence[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every shingle of this many words, in order. A text of fewer words, but one at least, is a shingle as a whole."""
+def words_of(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every word, in order."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-    owner = np.searchsorted(begin, start, "right") - 1
-    word = WindowHash(data).value(start, end)
+    return np.searchsorted(begin, start, "right") - 1, WindowHash(data).value(start, end)
+
+
+def word_shingles(texts: Sequence[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every shingle of this many words, in order. A text of fewer words, but one at least, is a shingle as a whole."""
+    owner, word = words_of(texts)
     n = len(word)
     n_of = np.bincount(owner, minlength=len(texts)) if n else np.zeros(len(texts), int)
     first = np.cumsum(n_of) - n_of
