@@ -38,6 +38,18 @@ def test_run_equals_its_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "secret scans", "mixing sources to target weights", "SentencePiece encoding and decoding"]
 
 
+def test_stages_take_odd_tables(spark, edge, nothing):
+    """Nulls, empty and very long texts, repeated rows, columns with names that operators use, and an empty table."""
+    docs = edge.withColumnRenamed("size", "taken").withColumnRenamed("node", "_id").withColumnRenamed("block", "ids")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        last = name.startswith("SentencePiece")
+        assert last or out.columns == docs.columns
+        n = out.count()
+        assert n == 9 if name.startswith(("quality", "secret", "Sentence")) else 0 < n <= 18
+        assert stage(spark, nothing, SF).count() == 0
+
+
 def test_one_query_per_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
     assert PIECE_MODEL.endswith(".model")

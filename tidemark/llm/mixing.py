@@ -82,16 +82,16 @@ def mix(
 
     Running sums within a source are cut into buckets of the md5, so that a source with a third of all rows is
     summed by many tasks. Null text: no words, size 0. Null source: a source of its own, the last. Repeated rows
-    count each for itself; ties of the md5 are rows with the same doc_id, in order of size. Empty table: no rows.
+    count each for itself; ties of the md5 are rows with the same doc_id, in order of size; null ids go by the md5 of the text. Empty table: no rows.
     Columns of the input that are not in keep do not matter; kept ones must not bear a name of the result.
     """
-    key = F.md5(F.col("doc_id").cast("string"))
+    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5(F.concat(F.lit("text "), text_or_empty())))
     shown = [k for k in keep if k != "doc_id"]
     keep = [k for k in shown if k != "source"]
     rows = docs.select(
         "doc_id", "source", *keep,
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        F.coalesce(key, F.lit("")).alias("_key"),
+        key.alias("_key"),
     ).withColumn("_bucket", F.coalesce(F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"), F.lit(0)) * buckets / 65536)
     rows = rows.withColumn("_bucket", F.floor("_bucket").cast("int"))
 

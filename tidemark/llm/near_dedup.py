@@ -319,7 +319,7 @@ def _named(found: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataF
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one row of each class: the row of the smallest doc_id (of repeated rows any one)."""
     kept = classes(docs, **options).where(F.col("node") == F.col("kept_node") ).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id")).distinct()
-    keyed = docs.withColumn("_text_node", F.unhex(F.md5(text_or_empty())))
-    rows = keyed.join(kept, (F.col("_text_node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text_node"]).drop("_text_node")
+    kept = kept.select(F.col("node").alias("_tidemark_node"), F.col("doc_id").alias("_tidemark_id")).distinct()
+    keyed = docs.withColumn("_tidemark_text", F.unhex(F.md5(text_or_empty())))
+    rows = keyed.join(kept, (F.col("_tidemark_text") == F.col("_tidemark_node")) & F.col("doc_id").eqNullSafe(F.col("_tidemark_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_tidemark_text"]).drop("_tidemark_text")

@@ -281,11 +281,11 @@ def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: fl
 
 def without_rejected(docs: DataFrame, trusted: DataFrame, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """The rows of docs that assess() keeps, with all their columns."""
-    gone = assess(docs, trusted, **options).where(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = assess(docs, trusted, **options).where(~F.col("keep")).select(F.col("doc_id").alias("_tidemark_id"), F.col("text_hash").alias("_tidemark_hash")).distinct()
     gone = write_shared(gone, "quality-rejected")
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_tidemark_id")) & (F.xxhash64(text_or_empty()) == F.col("_tidemark_hash")), "left_anti")
 
 
 def _pick(values: dict, other: Column) -> Column:

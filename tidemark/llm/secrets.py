@@ -99,7 +99,7 @@ def link_parts(spans: DataFrame, scope: int = 256) -> DataFrame:
     """
     kind = lambda of: F.element_at(F.array(*[F.lit(of(k)) for k in KINDS]), F.col("part.kind") + 1)
     parts = spans.where(F.size("parts") > 0).select("doc_id", "text_hash", F.explode("parts").alias("part"))
-    parts = parts.select("doc_id", "text_hash", "part.*", kind(lambda k: ROLES[k]).alias("role"))
+    parts = parts.select("doc_id", "text_hash", "part.*", kind(lambda k: ROLES[k]).alias("role")).distinct()  # repeated rows count once
     near = parts.select(
         F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("r"),
         F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("end") / scope) + 1)).alias("near"),
@@ -145,17 +145,17 @@ def redact(docs: DataFrame, scope: int = 256, mark: str = "[SECRET]", broadcast_
     Documents without spans pass as they are. The spans go to the texts by broadcast only if the documents that have
     any are counted to be few; else the join shuffles.
     """
-    found = scan_secrets(docs, scope).where(F.size("span_list") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("span_list").alias("_spans")).dropDuplicates(["_id", "_hash"])
+    found = scan_secrets(docs, scope).where(F.size("span_list") > 0).select(F.col("doc_id").alias("_tidemark_id"), F.col("text_hash").alias("_tidemark_hash"), F.col("span_list").alias("_tidemark_spans")).dropDuplicates(["_tidemark_id", "_tidemark_hash"])
     found = write_shared(found, "secrets-found")
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
     columns = docs.columns
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_tidemark_id")) & (F.xxhash64(text_or_empty()) == F.col("_tidemark_hash"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch["text"], batch["_spans"]):
+            for text, spans in zip(batch["text"], batch["_tidemark_spans"]):
                 out, at = [], 0
                 for s, e in sorted((x["start"], x["end"]) for x in spans):
                     if e > at:
@@ -168,4 +168,4 @@ def redact(docs: DataFrame, scope: int = 256, mark: str = "[SECRET]", broadcast_
             yield batch[columns]
 
     clean = docs.join(found, same, "left_anti")
-    return clean.unionByName(docs.join(found, same).select(*columns, "_spans").mapInPandas(cut, docs.schema))
+    return clean.unionByName(docs.join(found, same).select(*columns, "_tidemark_spans").mapInPandas(cut, docs.schema))
