@@ -18,9 +18,11 @@ import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_or_empty
 from .shingles import in_chunks
@@ -30,7 +32,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _UNKNOWN_CHAR = 1 << 24
 _NEVER = 1 << 40
 #: Characters of new words that are matched at a time: their edges, about four a character, are in memory together.
-WORD_CHARS = 1 << 17
+WORD_CHARS = 1 << 16
 #: Longer words are cut into sections of so many characters, which overlap by MARGIN on both sides.
 SECTION, MARGIN = 512, 64
 
@@ -447,7 +449,7 @@ def decode(model: PieceModel, ids: Sequence[np.ndarray]) -> list[str]:
     return out
 
 
-def encode_documents(docs: DataFrame, model_path: str, keep: Sequence[str] = ("doc_id",), chunk_chars: int = 1 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, keep: Sequence[str] = ("doc_id",), chunk_bytes: int = 1 << 20) -> DataFrame:
     """The columns in keep, then ids (the encoding), n_pieces, decoded_sha256 (of the UTF-8 of the decoded text) and round_trip for each row.
 
     round_trip: does decoding give the text again, U+2581 taken as the blank that the model takes it for? Null or empty
@@ -459,25 +461,31 @@ def encode_documents(docs: DataFrame, model_path: str, keep: Sequence[str] = ("d
     model = PieceModel(model_path)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    taken = ("ids", "n_pieces", "decoded_sha256", "round_trip")
+    kept = [F.col(c).alias(f"input_{c}" if c in taken else c) for c in keep]
+    given, width = docs.select(*kept, text_or_empty().alias("_tidemark_text")), len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         encoder = Encoder(m)
-        for texts in batches:
-            parts, at, texts = [], 0, texts.tolist()
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= chunk_chars):
-                    size += len(texts[upto])
-                    upto += 1
-                ids, same, digests = encoder.encode(texts[at:upto]), [], []
-                for t, back in zip(texts[at:upto], decode(m, ids)):
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch.column(width)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:  # small batches out, however large those that come in
+                upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + chunk_bytes, "right")))
+                part = batch.slice(at, upto - at)
+                texts, at = part.column(width).to_pylist(), upto
+                ids = encoder.encode(texts)
+                count = np.array([len(i) for i in ids], np.int64)
+                same, digests = [], []
+                for t, back in zip(texts, decode(m, ids)):
                     same.append(back == t.replace(SPACE, " "))
                     digests.append(hashlib.sha256(back.encode()).hexdigest())
-                parts.append(pd.DataFrame({"ids": ids, "n_pieces": [len(i) for i in ids], "decoded_sha256": digests, "round_trip": same}))
-                at = upto
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["ids", "n_pieces", "decoded_sha256", "round_trip"])
-
-    encoded = F.pandas_udf(run, "ids array<int>, n_pieces long, decoded_sha256 string, round_trip boolean")
-    taken = ("ids", "n_pieces", "decoded_sha256", "round_trip")
-    kept = [F.col(c).alias(f"input_{c}" if c in taken else c) for c in keep]
-    return docs.select(F.struct(*kept).alias("_kept"), encoded(text_or_empty()).alias("_encoded")).select("_kept.*", "_encoded.*")
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
+                columns = [*part.columns[: width], lists, pa.array(count), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[: width], *taken])
+
+    schema = T.StructType(given.schema.fields[: width])
+    for name, kind in zip(taken, (T.ArrayType(T.IntegerType()), T.LongType(), T.StringType(), T.BooleanType())):
+        schema = schema.add(name, kind)
+    return given.mapInArrow(run, schema)
