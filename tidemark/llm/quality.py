@@ -77,74 +77,35 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.0), k)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def count_by_fold(texts: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
-    """gram, n over all the texts, and by_fold: n in the texts of each fold (columns text, fold)."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for fold, part in batch.groupby("fold")["text"]:
-                held: list[tuple[np.ndarray, np.ndarray]] = []
-                for codes, _ in gram_codes(part.tolist(), order):
-                    held.append(np.unique(codes, return_counts=True))
-                    if len(held) == 16:
-                        held = [_merged(held)]
-                g, n = _merged(held)
-                yield pd.DataFrame({"gram": g, "fold": np.full(len(g), fold, np.int32), "n": n})
-
-    counts = texts.select("text", "fold").mapInPandas(count, "gram long, fold int, n long")
-    of_fold = F.array(*[F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)) for k in range(folds)])
-    return counts.groupBy("gram").agg(F.sum("n").alias("n"), of_fold.alias("by_fold"))
-
-
-def without_fold(counts: DataFrame) -> DataFrame:
-    """fold, gram, n in the texts of all the other folds, from count_by_fold()."""
-    rest = counts.select("gram", F.posexplode(F.transform("by_fold", lambda x: F.col("n") - x)).alias("fold", "n"))
-    return rest.where("n > 0").select("fold", "gram", "n")
-
-
 def train(texts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: (gram, part) and (context, back).
 
     The probability of a gram is its part plus back of its context times the probability one order lower; uniform
     over bytes at order 0. Orders below the highest count the distinct bytes that come before a gram.
     """
-    return train_counts(write_shared(count_grams(texts, order), "quality-counts"), order)
-
-
-def train_counts(counts: DataFrame, order: int = ORDER, by: tuple[str, ...] = ()) -> list[tuple[DataFrame, DataFrame]]:
-    """As train(), from gram and n of the highest order; a model of its own for each of the few values of by."""
-    model = []
+    counts, model = write_shared(count_grams(texts, order), "quality-counts"), []
     for k in range(order, 0, -1):
         if k < order:
-            counts = write_shared(counts.groupBy(*by, F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).agg(F.count("*").alias("n")), "quality-counts")
-        seen: dict[tuple, dict[int, int]] = {}
-        for r in counts.where("n <= 4").groupBy(*by, "n").count().collect():
-            seen.setdefault(tuple(r[b] for b in by), {})[r["n"]] = r["count"]
-        cut = F.lit(None).cast("double")
-        for values, n in (seen or {(): {}}).items():
-            d = discounts(*(n.get(i, 0) for i in (1, 2, 3, 4)))
-            same = F.lit(True)
-            for b, value in zip(by, values):
-                same &= F.col(b) == F.lit(value)
-            cut = F.when(same, F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(cut)
-        # no count below 5: as discounts() of none
-        cut = F.coalesce(cut, F.lit(discounts(0, 0, 0, 0)[2]))
-        c = counts.select(*by, "gram", F.shiftright("gram", 8).alias("context"), "n", cut.alias("cut"))
-        contexts = c.groupBy(*by, "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"))
-        grams = c.join(contexts, [*by, "context"]).select(*by, "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("part"))
-        model.append((grams, contexts.select(*by, "context", "back")))
+            counts = write_shared(counts.groupBy(F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).agg(F.count("*").alias("n")), "quality-counts")
+        seen = {r["n"]: r["count"] for r in counts.where("n <= 4").groupBy("n").count().collect()}
+        d = discounts(*(seen.get(i, 0) for i in (1, 2, 3, 4)))
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        c = counts.select("gram", F.shiftright("gram", 8).alias("context"), "n", cut.alias("cut"))
+        contexts = c.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"))
+        grams = c.join(contexts, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("part"))
+        model.append((grams, contexts.select("context", "back")))
     return model[::-1]
 
 
-def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]], by: tuple[str, ...] = ()) -> DataFrame:
-    """by, gram, log_p (natural) of distinct grams of the highest order, by joins with the tables of every order."""
+def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram, log_p (natural) of distinct grams of the highest order, by joins with the tables of every order."""
     q = grams.withColumn("p", F.lit(1 / 256))
     for k, (parts, contexts) in enumerate(model, 1):
         suffix = F.col("gram").bitwiseAND(F.lit(_mask(k)))
-        q = q.withColumn("_gram", suffix).join(parts.withColumnRenamed("gram", "_gram"), [*by, "_gram"], "left")
-        q = q.withColumn("_context", F.shiftright("_gram", 8)).join(contexts.withColumnRenamed("context", "_context"), [*by, "_context"], "left")
-        q = q.select(*by, "gram", (F.coalesce("part", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
-    return q.select(*by, "gram", F.log("p").cast("float").alias("log_p"))
+        q = q.withColumn("_gram", suffix).join(parts.withColumnRenamed("gram", "_gram"), "_gram", "left")
+        q = q.withColumn("_context", F.shiftright("_gram", 8)).join(contexts.withColumnRenamed("context", "_context"), "_context", "left")
+        q = q.select("gram", (F.coalesce("part", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
+    return q.select("gram", F.log("p").cast("float").alias("log_p"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,23 +129,16 @@ def _unpack(packed: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pa.ipc.open_stream(stream).read_all().to_pandas(integer_object_nulls=True)
 
 
-def log_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], block_rows: int = 8192, keys: tuple[str, ...] = ("doc_id", "lang"), left_out: list[tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+def log_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], block_bytes: int = 24 << 20, keys: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The keys, n_bytes and nll (negative log-likelihood, natural) of each row. Null or empty text: 0 and 0.
 
-    left_out: a model for each fold, by the column fold of docs. Then nll_out is the same under the model of the row's
-    fold, null for a null fold; blocks are of one fold each, so that a block's n-grams need one more model.
+    Rows are dealt into blocks of about block_bytes bytes of text by the hash of id and text.
     """
-    order, text, hashed = len(model), text_or_empty(), F.xxhash64("doc_id", text_or_empty())
-    fold = F.lit(None).cast("int") if left_out is None else F.col("fold")
-    sizes = {r["fold"]: r["count"] for r in docs.select(fold.alias("fold")).groupBy("fold").count().collect()}
-    block, fold_of, blocks = F.lit(0), F.lit(None).cast("int"), 0
-    for value in sorted(sizes, key=lambda v: -1 if v is None else v):
-        some = max(1, -(-sizes[value] // block_rows))
-        block = F.when(fold.eqNullSafe(F.lit(value)), blocks + F.pmod(hashed, F.lit(some))).otherwise(block)
-        fold_of = F.when(F.col("block").between(blocks, blocks + some - 1), F.lit(value)).otherwise(fold_of)
-        blocks += some
-    blocks = max(1, blocks)
-    dealt = docs.select(*keys, text.alias("text"), block.cast("int").alias("block"))
+    order, text = len(model), text_or_empty()
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    block = F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int")
+    dealt = docs.select(*keys, text.alias("text"), block.alias("block"))
     dealt = dealt.mapInArrow(_pack, "block int, rows binary").repartition(blocks, "block")
 
     def asked(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -197,52 +151,39 @@ def log_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], bl
         grams = np.unique(np.concatenate(held))
         return pd.DataFrame({"block": np.full(len(grams), pdf["block"].iloc[0], np.int32), "gram": grams})
 
-    needs = dealt.groupBy("block").applyInPandas(asked, "block int, gram long")
-    needs = write_shared(needs, "quality-needs")
-    known = needs.join(probabilities(needs.select("gram").distinct(), model), "gram").select("block", "gram", "log_p", F.lit(False).alias("out"))
-    if left_out is not None:
-        needs = needs.select("block", fold_of.cast("int").alias("fold"), "gram").where("fold is not null")
-        held_out = needs.join(probabilities(needs.select("fold", "gram").distinct(), left_out, ("fold",)), ["fold", "gram"])
-        known = known.unionByName(held_out.select("block", "gram", "log_p", F.lit(True).alias("out")))
-    shown = ["nll"] if left_out is None else ["nll", "nll_out"]
+    needs = write_shared(dealt.groupBy("block").applyInPandas(asked, "block int, gram long"), "quality-needs")
+    known = needs.join(probabilities(needs.select("gram").distinct(), model), "gram").select("block", "gram", "log_p")
 
     def add_up(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        tables = []
-        for part in (table[~table["out"]], table[table["out"]]):
-            order_of = np.argsort(part["gram"].to_numpy())
-            tables.append((part["gram"].to_numpy()[order_of], part["log_p"].to_numpy()[order_of].astype(np.float64)))
-        out = [pd.DataFrame(columns=[*keys, "n_bytes", *shown])]
+        order_of = np.argsort(table["gram"].to_numpy())
+        grams, log_p = table["gram"].to_numpy()[order_of], table["log_p"].to_numpy()[order_of].astype(np.float64)
+        out = [pd.DataFrame(columns=[*keys, "n_bytes", "nll"])]
         for rows in _unpack(packed):
-            sums, sizes = {name: [] for name in shown}, []
+            sums, sizes = [], []
             for codes, lengths in gram_codes(rows["text"].tolist(), order):
                 ends = np.cumsum(lengths)
-                for name, (grams, log_p) in zip(shown, tables):
-                    if len(codes) and not len(grams):
-                        sums[name].append(np.full(len(lengths), np.nan))
-                        continue
-                    total = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(grams, codes)])]) if len(codes) else np.zeros(1)
-                    sums[name].append(total[ends] - total[ends - lengths])
+                total = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(grams, codes)])]) if len(codes) else np.zeros(1)
+                sums.append(total[ends] - total[ends - lengths])
                 sizes.append(lengths)
-            found = {name: -np.concatenate(of) for name, of in sums.items()}
-            out.append(rows[list(keys)].assign(n_bytes=np.concatenate(sizes), **found))
+            out.append(rows[list(keys)].assign(n_bytes=np.concatenate(sizes), nll=-np.concatenate(sums)))
         return pd.concat(out[1:], ignore_index=True) if len(out) > 1 else out[0]
 
     types = dict(docs.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n_bytes long, " + ", ".join(f"{name} double" for name in shown)
-    found = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(add_up, schema)
-    return found if left_out is None else found.withColumn("nll_out", F.nanvl("nll_out", F.lit(None).cast("double")))
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n_bytes long, nll double"
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(add_up, schema)
 
 
 def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.98, slack: float = 0.1, prior_bytes: int = 200, broadcast_rows: int = 2_000_000, folds: int = FOLDS) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (a byte), score, threshold, keep, text_hash for each row of docs.
 
-    trusted: doc_ids of the text that the model learns from. score is the log-perplexity, drawn towards the median of
-    the trusted text of the language as if prior_bytes bytes more had it, so that a short text is not judged by a few
-    bytes. A document is rejected if its score is over the language's quantile of trusted scores plus slack times the
-    median. Medians and quantiles are of scores out of sample: trusted rows are dealt into folds by the hash of the
-    text, so that copies lie together, and a fold is scored by a model counted on the others. The scores shown are
-    those of the model over all trusted rows, and a threshold is compared with them. Languages without trusted text go by all trusted text, a null language is one of its own. Null or empty
-    text: perplexity 1, kept. Nothing trusted: everything is kept. Repeated rows: equal results.
+    trusted: doc_ids of text of good quality. One in folds of it, by the hash of the text so that copies lie together,
+    is not learned from but judges: medians and quantiles are of its scores, which are out of sample as those of most
+    documents are; the model is counted on the others. (Where one of the two parts is empty, all of it does both.)
+    score is the log-perplexity, drawn towards the language's median as if prior_bytes bytes more had it, so that a
+    short text is not judged by a few bytes. A document is rejected if its score is over the language's quantile plus
+    slack times the median. Languages without judges go by all judges, a null language is one of its own. Null or
+    empty text: perplexity 1, kept. Nothing trusted: everything is kept. Repeated rows: equal results. Very long texts
+    are judged whole. Empty table: no rows. Extra columns do not matter.
 
     The ids of trusted rows are broadcast only if they are counted to be few (broadcast_rows); else the join shuffles.
     """
@@ -251,18 +192,17 @@ def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: fl
     marks = ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_trusted"))
     held = docs.select("doc_id", "lang", "text", F.xxhash64(text_or_empty()).alias("text_hash"))
     held = held.join(F.broadcast(marks) if small else marks, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    # a fold marks a trusted row; the seed of its hash is not that of the blocks
+    # 0 judges, the others learn; the seed of the hash is not that of the blocks
     held = held.select("doc_id", "lang", "text", "text_hash", F.when(F.col("_trusted"), F.pmod(F.xxhash64(F.lit("fold"), "text_hash"), F.lit(folds))).cast("int").alias("fold"))
     if not small:
         held = write_shared(held, "quality-marked")  # the join shuffles the texts: once
-    learn = held.where("fold is not null").select(text_or_empty().alias("text"), "fold")
-    counts = write_shared(count_by_fold(learn, order, folds), "quality-counts")
-    model = train_counts(counts.select("gram", "n"), order)
-    left_out = train_counts(write_shared(without_fold(counts), "quality-counts"), order, ("fold",))
-    scores = write_shared(log_perplexity(held, model, keys=("doc_id", "lang", "text_hash", "fold"), left_out=left_out), "quality-scores")
+    judges, learners = held.where("fold is not null and text <> ''").agg(F.count_if(F.col("fold") == 0), F.count_if(F.col("fold") > 0)).first()
+    both = judges and learners
+    learn = held.where("fold > 0" if both else "fold is not null").select(text_or_empty().alias("text"))
+    scores = write_shared(log_perplexity(held, train(learn, order), keys=("doc_id", "lang", "text_hash", "fold")), "quality-scores")
 
     rate = F.when(F.col("n_bytes") > 0, F.col("nll") / F.col("n_bytes"))
-    good = scores.where("fold is not null and n_bytes > 0").withColumn("nll", F.col("nll_out"))
+    good = scores.where("fold = 0" if both else "fold is not null").where("n_bytes > 0")
     # A row a language: few. Medians first, for the score depends on them.
     middle = {r["lang"]: r["m"] for r in good.groupBy("lang").agg(F.percentile_approx(rate, 0.5, 10_000).alias("m")).collect()}
     overall = good.agg(F.percentile_approx(rate, 0.5, 10_000)).first()[0]
