@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,19 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of about size bytes of text of Arrow batches, with their texts in UTF-8: whatever a batch holds, little of it is in Python at a time."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column))
+        texts = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
+        end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, upto - at), texts.slice(at, upto - at).to_pylist()
+            at = upto
+
+
 # --- byte windows -----------------------------------------------------------------------------------------------
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

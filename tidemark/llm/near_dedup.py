@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, join_spread, mix64, text_or_empty, write_shared
-from .shingles import in_chunks, multisets, word_shingles
+from .common import WORD, join_spread, mix64, text_or_empty, text_slices, write_shared
+from .shingles import multisets, word_shingles
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
@@ -78,20 +79,19 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
     """doc_id, node (MD5 of the text), bands (hash of each band; empty for a text without words), a row per row."""
     odd = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(rows)], np.uint64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, found = [t.encode() for t in batch["text"]], []
-            for _, part in in_chunks(texts):
-                owner, shingle, count = multisets(*word_shingles(part, words))
-                times = bag_signatures(owner, shingle, count, len(part), bands * rows).view(np.uint64)
-                keys = mix64((mix64(times).reshape(len(part), bands, rows) * odd).sum(2) + np.arange(bands, dtype=np.uint64)).view(np.int64)
-                worded = np.bincount(owner, minlength=len(part)) > 0
-                found += [k if w else k[:0] for k, w in zip(keys, worded)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": batch["node"], "bands": found})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            owner, shingle, count = multisets(*word_shingles(texts, words))
+            times = bag_signatures(owner, shingle, count, len(texts), bands * rows).view(np.uint64)
+            keys = mix64((mix64(times).reshape(len(texts), bands, rows) * odd).sum(2) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+            worded = np.bincount(owner, minlength=len(texts)) > 0
+            ends = np.concatenate([[0], np.cumsum(worded * bands)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, keys[worded].ravel())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "node", "bands"])
 
     text = text_or_empty()
     shaped = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
-    return shaped.mapInPandas(run, "doc_id long, node binary, bands array<long>")
+    return shaped.mapInArrow(run, "doc_id long, node binary, bands array<long>")
 
 
 def overlap_share(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -144,27 +144,24 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float,
 def shared_weights(texts: DataFrame, words: int, kinds: int = 32) -> DataFrame:
     """node, size (shingles), common (those of them that occur in another of these texts too) and by_kind: common, split by the shingles' hashes."""
 
-    def list_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raw, nodes = [t.encode() for t in batch["text"]], batch["node"].to_numpy()
-            for at, part in in_chunks(raw):
-                owner, shingle, count = multisets(*word_shingles(part, words))
-                yield pd.DataFrame({"node": nodes[at + owner], "shingle": shingle.view(np.int64), "count": count})
-
-    def count_kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = []
-            for _, part in in_chunks([t.encode() for t in batch["text"]]):
-                owner, shingle = word_shingles(part, words)
-                kind = owner * kinds + (shingle % np.uint64(kinds)).astype(np.int64)
-                counts += list(np.bincount(kind, minlength=len(part) * kinds).reshape(-1, kinds))
-            yield pd.DataFrame({"node": batch["node"], "sizes": counts})
-
-    held = texts.mapInPandas(list_shingles, "node binary, shingle long, count long")
+    def list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            owner, shingle, count = multisets(*word_shingles(texts, words))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int64))], ["node", "shingle", "count"])
+
+    def count_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            owner, shingle = word_shingles(texts, words)
+            counts = np.bincount(owner * kinds + (shingle % np.uint64(kinds)).astype(np.int64), minlength=len(texts) * kinds)
+            lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * kinds, counts)
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "sizes"])
+
+    texts = texts.select("node", "text")
+    held = texts.mapInArrow(list_shingles, "node binary, shingle long, count long")
     alone = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("count").alias("count")).where("n = 1")
     # 2**64 divides by kinds, a power of two, so a negative long has the same remainder
     alone = alone.groupBy("node").agg(F.array(*[F.sum(F.when(F.pmod("shingle", F.lit(kinds)) == k, F.col("count")).otherwise(0)) for k in range(kinds)]).alias("alone"))
-    sized = texts.mapInPandas(count_kinds, "node binary, sizes array<long>").join(alone, "node", "left")
+    sized = texts.mapInArrow(count_kinds, "node binary, sizes array<long>").join(alone, "node", "left")
     by_kind = F.when(F.col("alone").isNull(), F.col("sizes")).otherwise(F.zip_with("sizes", "alone", lambda a, b: a - b))
     return sized.select("node", _sum("sizes").alias("size"), by_kind.alias("by_kind")).withColumn("common", _sum("by_kind"))
 

@@ -19,12 +19,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import text_slices
 from .shingles import in_chunks
 
 SPACE = "▁"
@@ -242,7 +241,7 @@ class Encoder:
             self.fresh.append(word)
             return at
 
-    def __init__(self, model: PieceModel, most_chars: int = 2 << 20):
+    def __init__(self, model: PieceModel, most_chars: int = 1 << 20):
         self.model, self.most = model, most_chars
         self._clear()
 
@@ -463,27 +462,24 @@ def encode_documents(docs: DataFrame, model_path: str, keep: Sequence[str] = ("d
 
     taken = ("ids", "n_pieces", "decoded_sha256", "round_trip")
     kept = [F.col(c).alias(f"input_{c}" if c in taken else c) for c in keep]
-    given, width = docs.select(*kept, text_or_empty().alias("_tidemark_text")), len(kept)
+    # the text crosses once: a kept one serves, with null for empty
+    given = docs.select(*kept) if "text" in keep else docs.select(*kept, F.col("text").alias("_tidemark_text"))
+    width, column = len(kept), "text" if "text" in keep else "_tidemark_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         encoder = Encoder(m)
-        for batch in batches:
-            size = np.cumsum(pc.binary_length(batch.column(width)).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < batch.num_rows:  # small batches out, however large those that come in
-                upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + chunk_bytes, "right")))
-                part = batch.slice(at, upto - at)
-                texts, at = part.column(width).to_pylist(), upto
-                ids = encoder.encode(texts)
-                count = np.array([len(i) for i in ids], np.int64)
-                same, digests = [], []
-                for t, back in zip(texts, decode(m, ids)):
-                    same.append(back == t.replace(SPACE, " "))
-                    digests.append(hashlib.sha256(back.encode()).hexdigest())
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
-                columns = [*part.columns[: width], lists, pa.array(count), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[: width], *taken])
+        for part, raw in text_slices(batches, column, chunk_bytes):  # small batches out, however large those that come in
+            texts = [(t or b"").decode() for t in raw]
+            ids = encoder.encode(texts)
+            count = np.array([len(i) for i in ids], np.int64)
+            same, digests = [], []
+            for t, back in zip(texts, decode(m, ids)):
+                same.append(back == t.replace(SPACE, " "))
+                digests.append(hashlib.sha256(back.encode()).hexdigest())
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
+            columns = [*part.columns[: width], lists, pa.array(count), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[: width], *taken])
 
     schema = T.StructType(given.schema.fields[: width])
     for name, kind in zip(taken, (T.ArrayType(T.IntegerType()), T.LongType(), T.StringType(), T.BooleanType())):

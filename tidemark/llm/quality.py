@@ -15,20 +15,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, write_shared
+from .common import text_or_empty, text_slices, write_shared
 
 ORDER = 5
 FOLDS = 5
 _CHUNK = 1 << 20
 
 
-def gram_codes(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def gram_codes(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(n-gram codes, lengths in bytes) of runs of texts: one n-gram ends at each byte, order - 1 zero bytes come before a text."""
     at = 0
     while at < len(texts):
         parts, lengths, size = [], [], 0
         while at < len(texts) and (not size or size + len(texts[at]) <= _CHUNK):
-            raw = texts[at].encode()
+            raw = texts[at]
             parts.append(bytes(order - 1) + raw)
             lengths.append(len(raw))
             size += len(raw) + order - 1
@@ -50,18 +50,23 @@ def _mask(order: int) -> int:
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """gram, n over all the texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            for codes, _ in gram_codes(batch["text"].tolist(), order):
-                held.append(np.unique(codes, return_counts=True))
-                if len(held) == 16:
-                    held = [_merged(held)]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sums() -> Iterator[pa.RecordBatch]:
             if held:
-                g, n = _merged(held)
-                yield pd.DataFrame({"gram": g, "n": n})
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], ["gram", "n"])
+                held.clear()
+
+        for _, part in text_slices(batches):
+            held += [np.unique(codes, return_counts=True) for codes, _ in gram_codes(part, order)]
+            if len(held) >= 16:
+                held[:] = [_merged(held)]
+                if len(held[0][0]) > 2_000_000:
+                    yield from sums()
+        yield from sums()
 
-    return texts.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +149,7 @@ def log_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], bl
     def asked(pdf: pd.DataFrame) -> pd.DataFrame:
         held = [np.zeros(0, np.int64)]
         for rows in _unpack(pdf):
-            for codes, _ in gram_codes(rows["text"].tolist(), order):
+            for codes, _ in gram_codes([t.encode() for t in rows["text"]], order):
                 held.append(np.unique(codes))
                 if len(held) == 16:
                     held = [np.unique(np.concatenate(held))]
@@ -160,7 +165,7 @@ def log_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], bl
         out = [pd.DataFrame(columns=[*keys, "n_bytes", "nll"])]
         for rows in _unpack(packed):
             sums, sizes = [], []
-            for codes, lengths in gram_codes(rows["text"].tolist(), order):
+            for codes, lengths in gram_codes([t.encode() for t in rows["text"]], order):
                 ends = np.cumsum(lengths)
                 total = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(grams, codes)])]) if len(codes) else np.zeros(1)
                 sums.append(total[ends] - total[ends - lengths])

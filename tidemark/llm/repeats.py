@@ -25,11 +25,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WindowHash, join_spread, mix64, sliding_min, text_or_empty, write_shared
-from .shingles import in_chunks, words_of
+from .common import WindowHash, join_spread, mix64, sliding_min, text_or_empty, text_slices, write_shared
+from .shingles import words_of
 
 LENGTH, GRAM, BLOCK = 400, 100, 32
 #: Of passages shared by documents: words of a passage, and of the grams that lead them.
@@ -63,19 +64,15 @@ def led_runs(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tu
 def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """node, bucket, stretch, lead, first, last (byte offsets) of every run of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raw, nodes = [t.encode() for t in batch["text"]], batch["node"].to_numpy()
-            for at, part in in_chunks(raw, 1 << 20):
-                starts = np.concatenate([[0], np.cumsum([len(t) for t in part])])
-                text, lead, first, last, bucket, stretch = led_runs(np.frombuffer(b"".join(part), np.uint8), starts, length, gram)
-                base = starts[text]
-                yield pd.DataFrame({
-                    "node": nodes[at + text], "bucket": bucket.view(np.int64), "stretch": stretch.view(np.int64),
-                    "lead": (lead - base).astype(np.int32), "first": (first - base).astype(np.int32), "last": (last - base).astype(np.int32),
-                })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw in text_slices(batches):
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+            text, lead, first, last, bucket, stretch = led_runs(np.frombuffer(b"".join(raw), np.uint8), starts, length, gram)
+            offsets = [pa.array((x - starts[text]).astype(np.int32)) for x in (lead, first, last)]
+            columns = [part.column(0).take(pa.array(text)), pa.array(bucket.view(np.int64)), pa.array(stretch.view(np.int64)), *offsets]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "bucket", "stretch", "lead", "first", "last"])
 
-    return texts.mapInPandas(run, "node binary, bucket long, stretch long, lead int, first int, last int")
+    return texts.select("node", "text").mapInArrow(run, "node binary, bucket long, stretch long, lead int, first int, last int")
 
 
 def _with_texts(texts: DataFrame, rows: DataFrame, columns: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -205,12 +202,11 @@ def shared_passages(texts: DataFrame, words: int = PASSAGE, lead: int = LEAD, br
     meet in its bucket, first as whole stretches, and where a node has none in common, passage by passage.
     """
 
-    def runs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            nodes = batch["node"].to_numpy()
-            for at, part in in_chunks([t.encode() for t in batch["text"]]):
-                text, bucket, stretch, _, _, _ = _led_passages(part, words, lead)
-                yield pd.DataFrame({"node": nodes[at + text], "bucket": bucket.view(np.int64), "stretch": stretch.view(np.int64)})
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw in text_slices(batches):
+            text, bucket, stretch, _, _, _ = _led_passages(raw, words, lead)
+            columns = [part.column(0).take(pa.array(text)), pa.array(bucket.view(np.int64)), pa.array(stretch.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "bucket", "stretch"])
 
     def passages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -225,7 +221,7 @@ def shared_passages(texts: DataFrame, words: int = PASSAGE, lead: int = LEAD, br
 
     node = F.xxhash64("node").alias("node")
     ends = [F.count("*").alias("_n"), F.min("node").alias("lo"), F.max("node").alias("hi")]
-    runs = write_shared(texts.select(node, "text").mapInPandas(runs_of, "node long, bucket long, stretch long"), "repeats-passages")
+    runs = write_shared(texts.select(node, "text").mapInArrow(runs_of, "node long, bucket long, stretch long"), "repeats-passages")
     shared = runs.groupBy("bucket").agg(*ends).where("lo <> hi").select("bucket", "_n")
     met = write_shared(join_spread(runs, shared, ["bucket"], "_n", runs.count()).drop("_n"), "repeats-met")
     total = met.count()
