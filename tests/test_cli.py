@@ -11,7 +11,7 @@ def test_fill_from_a_file(spark, tmp_path, capsys):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     df = synthetic_sites(spark, sites=1, days=12).selectExpr("site_id", "date_format(ts, 'yyyyMMddHHmm') AS stamp", *names[2:])
     df.coalesce(1).write.option("header", True).csv(str(tmp_path / "in"))
-    (tmp_path / "c.json").write_text(json.dumps({"grid": {"n_estimators": [5], "max_depth": [5]}, "partitions": 2, "features": {"daily_strategy": "rolling_available"}}))
+    (tmp_path / "c.json").write_text(json.dumps({"grid": {"n_estimators": [5], "max_depth": [5]}, "partitions": 2, "hemisphere": "north", "features": {"daily_strategy": "rolling_available"}}))
     call = ["fill", str(tmp_path / "in"), "--schema", SCHEMA, "--config", str(tmp_path / "c.json"), "--timestamp", "stamp", "--format", "yyyyMMddHHmm", "--target", "LE", "--qc", "LE=LE_QC", "--out", str(tmp_path / "out")]
     assert cli.main(call) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "out/LE/filled")).count() == 12 * 48

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from tidemark.functions import published, student
 from tidemark.functions.synthetic import synthetic_sites
 from tidemark.operators import features, fill, gaps, leakage, legacy, masks, metrics, model, reports, timeaxis
 from tidemark.plans import config
+from tidemark.plans.validation import validate
 from tidemark.sources import tables
 from tidemark.streaming import scoring
 
@@ -256,7 +258,7 @@ GRID = {"max_features": (1.0,), "n_estimators": (8,), "max_depth": (6,), "min_sa
 
 def run_config(**more):
     columns = {"shortwave": "shortwave", "vapour_pressure_deficit": "vapour_pressure_deficit", "air_temperature": "air_temperature"}
-    return config.RunConfig(columns=columns, grid=GRID, partitions=2, features=config.FeatureConfig(daily_strategy="rolling_available"), **more)
+    return config.RunConfig(columns=columns, hemisphere="north", grid=GRID, partitions=2, features=config.FeatureConfig(daily_strategy="rolling_available"), **more)
 
 
 def test_fill_and_save_and_load(spark, tmp_path):
@@ -293,6 +295,52 @@ def test_search_and_folds(spark):
         model.fit(df.withColumn("H", F.lit(None).cast("double")), names, "H", GRID)
 
 
+def test_time_blocks(spark):
+    df = synthetic_sites(spark, sites=2, days=5, seed=6)
+    n = df.count()
+    rows = model.with_time_blocks(df, 4).select("fold", "ts").toPandas()
+    sizes = rows.groupby("fold").size().tolist()
+    assert sizes == [n - 4 * (n // 5)] + [n // 5] * 4
+    ends = rows.groupby("fold")["ts"].agg(["min", "max"])
+    assert (ends["max"].to_numpy()[:-1] <= ends["min"].to_numpy()[1:]).all()  # later blocks are later in time, over all sites
+
+
+def test_shuffled_folds_are_even_and_repeat(spark):
+    df = synthetic_sites(spark, sites=2, days=3, seed=6)
+    deal = lambda d: {(r["site_id"], r["ts"]): r["fold"] for r in model.with_folds(d, 3, shuffle_seed=5).collect()}
+    a, b = deal(df), deal(df.repartition(3))
+    assert a == b and len(set(pd.Series(list(a.values())).value_counts())) <= 2
+
+
+def test_a_missing_or_odd_hemisphere_is_refused():
+    with pytest.raises(ConfigError):
+        config.RunConfig().side  # noqa: B018
+    with pytest.raises(ConfigError):
+        config.RunConfig(hemisphere="west")
+    assert config.RunConfig(latitude=-3.0).side == "south"
+
+
+def test_shortfall_is_told(spark):
+    plan = spark.createDataFrame([("a", "long", 2), ("a", "short", 1)], "site_id string, gap_class string, events int")
+    placed = spark.createDataFrame([("a", "long"), ("a", "short")], "site_id string, gap_class string")
+    assert gaps.shortfalls(plan, placed) == ["site a: 1 of 2 gaps of class long could be placed"]
+    with pytest.raises(GapError):
+        gaps.place(plan, plan, F.lit(True), gaps.GapScenario(), on_shortfall="perhaps")
+
+
+def test_overlapping_gaps_count_a_row_once(spark):
+    df = synthetic_sites(spark, sites=1, days=6, seed=3)
+    start = df.agg(F.min("ts")).first()[0]
+    at = lambda h: start + timedelta(hours=h)
+    intervals = spark.createDataFrame(
+        [("g1", "short", at(24), at(60)), ("g2", "long", at(48), at(72))], "gap_id string, gap_class string, start timestamp_ntz, end timestamp_ntz"
+    ).crossJoin(df.select("site_id").distinct())
+    found = validate(df, run_config(), ["H"], intervals=intervals)["H"]
+    n = {(r["gap_class"], r["subset"]): r["n_offered"] for r in found.scores.collect()}
+    assert n["all", "all"] == 96 and n["short", "all"] == 48 and n["long", "all"] == 48
+    assert found.predictions.count() == 72 + 48
+
+
 def test_configuration(tmp_path):
     c = config.from_dict({"mode": "RFR3", "grid": "legacy_fixed", "gaps": {"durations": {"short": "12h", "long": "2d", "very_long": "6d"}}})
     assert c.grid["max_depth"] == (20,) and c.gaps.durations["short"] == timedelta(hours=12) and c.method == "RFR3" and c.as_benchmark_arm().method == "ORF3"

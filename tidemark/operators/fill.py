@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FillError
 from ..functions.expressions import finite, yes
-from . import features, masks, model
+from . import features, legacy, masks, model
 
 STATES = ("observed", "pre_filled", "unfilled_incomplete_features")
 
@@ -66,6 +66,8 @@ class GapFiller:
         c = self.config
         drivers = {d: c.columns.get(d, d) for d in c.drivers}
         renamed = df.withColumns({d: F.col(src) for d, src in drivers.items()}).withColumn("_shown", shown)
+        if c.features.mode == "legacy":
+            return legacy.legacy_features(renamed, target, "_shown", "shortwave", c.side), legacy.legacy_feature_names(target)
         options = dict(c.features.daily()) if c.features.use_limiter else {}
         low, high = c.features.radiation_thresholds
         matrix = features.feature_matrix(

@@ -81,7 +81,10 @@ def place(df: DataFrame, steps: DataFrame, is_available: Column, scenario: GapSc
     """Gaps of each site, placed at random: longest class first, each start drawn until its gap fits and holds enough.
 
     One task per site: each choice depends on those before it. Only stamps and a flag of a site are in memory.
+    on_shortfall: warn, raise or ignore where fewer gaps could be placed than planned.
     """
+    if on_shortfall not in ("warn", "raise", "ignore"):
+        raise GapError(f"unknown on_shortfall {on_shortfall!r}; known are warn, raise, ignore")
     spark = df.sparkSession
     plan = allocate(site_spans(df, steps, is_available), scenario.table(spark), scenario.missing_fraction, scenario.basis)
     wide = plan.groupBy("site_id").agg(F.collect_list(F.struct("gap_class", "events", "per_event")).alias("plan")).join(steps, "site_id")
@@ -125,13 +128,21 @@ def place(df: DataFrame, steps: DataFrame, is_available: Column, scenario: GapSc
         return pd.DataFrame(out, columns=columns)
 
     gaps = rows.groupBy("site_id").cogroup(wide.groupBy("site_id")).applyInPandas(draw, SCHEMA)
-    if on_shortfall == "raise":
-        short = plan.join(gaps.groupBy("site_id", "gap_class").agg(F.count("*").alias("n")), ["site_id", "gap_class"], "left").where("coalesce(n, 0) < events").first()
-        if short is not None:
-            raise GapError(f"site {short['site_id']}: {short['n'] or 0} of {short['events']} gaps of class {short['gap_class']} could be placed")
+    if on_shortfall != "ignore":
+        for text in shortfalls(plan, gaps):
+            if on_shortfall == "raise":
+                raise GapError(text)
+            warnings.warn(text, GapWarning, stacklevel=2)
     return gaps
 
 
+def shortfalls(plan: DataFrame, gaps: DataFrame) -> list[str]:
+    """A text for each site and class of the plan (site_id, gap_class, events) that got fewer gaps than planned."""
+    placed = gaps.groupBy("site_id", "gap_class").agg(F.count("*").alias("n"))
+    short = plan.join(placed, ["site_id", "gap_class"], "left").where("coalesce(n, 0) < events").orderBy("site_id", "gap_class")
+    return [f"site {r['site_id']}: {r['n'] or 0} of {r['events']} gaps of class {r['gap_class']} could be placed" for r in short.collect()]
+
+
 def count_rows(df: DataFrame, intervals: DataFrame, steps: DataFrame, is_available: Column) -> DataFrame:
     """The manifest of given intervals (site_id, gap_id, gap_class, start, end): rows and available rows in each.
 

@@ -58,7 +58,7 @@ def corrupt_hidden_truth(df: DataFrame, gaps: DataFrame, target: str, magnitude:
 
 def moved_features(df: DataFrame, gaps: DataFrame, target: str, drivers: Sequence[str], shortwave: str, **options) -> DataFrame:
     """feature, n_moved: in how many rows each feature changes when withheld truth is corrupted; 0 for a safe feature."""
-    names = legacy.legacy_feature_names(target) if options.get("legacy_mode") else features.feature_names(drivers, target)
+    names = legacy.legacy_feature_names(target) if options.get("legacy_mode") else features.feature_names(drivers, target, options.get("limiter", True))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", LeakageWarning)
         plain = validation_features(df, gaps, target, drivers, shortwave, **options)

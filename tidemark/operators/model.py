@@ -44,15 +44,49 @@ def with_folds(rows: DataFrame, folds: int, order: Sequence[str] = ("site_id", "
     """rows with fold 0..folds-1: contiguous blocks in row order, the first n % folds of them one row longer.
 
     Shuffled folds take a hash of the order columns and the seed instead, so they don't depend on partitions. groups
-    deals folds within each group (such as a site), which spreads the numbering over as many tasks.
+    deals folds within each group (such as a site), which spreads the numbering over as many tasks. Without groups,
+    rows are numbered within stretches of the order (days of a site, ranges of the hash), whose counts are summed.
     """
-    key = [F.xxhash64(F.lit(shuffle_seed), *order)] if shuffle_seed is not None else list(order)
-    whole = Window.partitionBy(*groups)
-    place, n = F.row_number().over(whole.orderBy(*key)) - 1, F.count("*").over(whole)
+    if groups:
+        key = [F.xxhash64(F.lit(shuffle_seed), *order)] if shuffle_seed is not None else list(order)
+        whole = Window.partitionBy(*groups)
+        placed = rows.withColumn("_place", F.row_number().over(whole.orderBy(*key)) - 1).withColumn("_n", F.count("*").over(whole))
+    else:
+        placed = _placed(rows, order, shuffle_seed)
+    place, n = F.col("_place"), F.col("_n")
     small = F.floor(n / folds)
     long_rows = (n % folds) * (small + 1)
     fold = F.when(place < long_rows, F.floor(place / (small + 1))).otherwise((n % folds) + F.floor((place - long_rows) / F.greatest(small, F.lit(1))))
-    return rows.withColumn("fold", fold.cast("int"))
+    return placed.withColumn("fold", fold.cast("int")).drop("_place", "_n")
+
+
+def with_time_blocks(rows: DataFrame, folds: int) -> DataFrame:
+    """rows with fold 0..folds by time over all sites: the last folds blocks have n // (folds + 1) rows each and are scored one
+    after another, the first has the rest and is only trained on."""
+    placed = _placed(rows, ("ts", "site_id"), None)
+    size = F.floor(F.col("_n") / (folds + 1))
+    first = F.col("_n") - folds * size
+    fold = F.when(F.col("_place") < first, 0).otherwise(1 + F.floor((F.col("_place") - first) / F.greatest(size, F.lit(1))))
+    return placed.withColumn("fold", fold.cast("int")).drop("_place", "_n")
+
+
+def _placed(rows: DataFrame, order: Sequence[str], shuffle_seed: int | None) -> DataFrame:
+    """rows with _place (0.. in this order) and _n. Stretches are numbered apart; only their counts meet in one window."""
+    if shuffle_seed is not None:
+        keyed = rows.withColumn("_key", F.xxhash64(F.lit(shuffle_seed), *order))
+        keyed, key = keyed.withColumn("_s0", F.shiftright("_key", 50)), ["_key"]
+    else:
+        keyed, key = rows, list(order)
+        for k, c in enumerate(order):
+            keyed = keyed.withColumn(f"_s{k}", F.to_date(c) if c == "ts" else F.col(c))
+    stretch = [c for c in keyed.columns if c in ("_s0", "_s1")]
+    counts = keyed.groupBy(*stretch).agg(F.count("*").alias("_k"))
+    before = counts.select(*[F.col(c).alias(f"{c}_") for c in stretch], (F.sum("_k").over(Window.orderBy(*stretch)) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
+    within = keyed.withColumn("_within", F.row_number().over(Window.partitionBy(*stretch).orderBy(*key)) - 1)
+    met = F.lit(True)
+    for c in stretch:
+        met = met & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return within.join(before, met).select(*rows.columns, (F.col("_before") + F.col("_within")).alias("_place"), "_n")
 
 
 @dataclass
@@ -125,16 +159,16 @@ def fit(
     """Search the grid by R2 over folds and refit the best on all usable rows.
 
     Rows are dealt by range of (site_id, ts) into a fixed number of partitions and sorted, because a forest depends on
-    how its rows lie. Time-series folds train on all folds before the one they score.
+    how its rows lie. Time-series folds train on all rows before the block they score; every fold scores a block.
     """
     names = list(names)
     report = fit_report(matrix, names, target).first().asDict()
-    if report["fitted_rows"] < max(min_rows, folds if grid and _candidates(grid) > 1 else 1):
+    if report["fitted_rows"] < max(min_rows, folds + (cv == "time_series_split") if grid and _candidates(grid) > 1 else 1):
         raise InsufficientTrainingData(f"{target}: {report['fitted_rows']} usable rows of {report['rows']}; worst feature {report['worst_feature']}", report)
     usable = matrix.where(finite(target) & complete(names)).select("site_id", "ts", *[F.col(n).cast("double").alias(n) for n in names], F.col(target).cast("double").alias("_y"))
     candidates = [dict(zip(grid, values)) for values in itertools.product(*grid.values())] if grid else [{}]
     if len(candidates) > 1:
-        usable = with_folds(usable, folds, shuffle_seed=seed if shuffle else None)
+        usable = with_time_blocks(usable, folds) if cv == "time_series_split" else with_folds(usable, folds, shuffle_seed=seed if shuffle else None)
     ready = VectorAssembler(inputCols=names, outputCol="_v").transform(usable).repartitionByRange(partitions, "site_id", "ts").sortWithinPartitions("site_id", "ts").persist()
     best, score, notes = candidates[0], None, []
     try:
@@ -144,7 +178,7 @@ def fit(
             for params in candidates:
                 estimator, _ = _estimator(params, seed, len(names))
                 found = []
-                for k in range(1 if cv == "time_series_split" else 0, folds):
+                for k in range(1, folds + 1) if cv == "time_series_split" else range(folds):
                     train = ready.where(F.col("fold") < k if cv == "time_series_split" else F.col("fold") != k)
                     found.append(judge.evaluate(estimator.fit(train).transform(ready.where(F.col("fold") == k))))
                 scores.append(sum(found) / len(found))

@@ -99,6 +99,8 @@ class RunConfig:
             raise ConfigError("seed must be a whole number")
         if self.latitude is not None and not -90 <= self.latitude <= 90:
             raise ConfigError(f"latitude {self.latitude} is out of range")
+        if self.hemisphere not in (None, "north", "south"):
+            raise ConfigError(f"unknown hemisphere {self.hemisphere!r}; known are north, south")
         if self.cv not in ("kfold", "time_series_split"):
             raise ConfigError(f"unknown cross-validation {self.cv!r}")
         if self.cv_folds < 2:
@@ -110,10 +112,12 @@ class RunConfig:
 
     @property
     def side(self) -> str:
-        """Hemisphere; an explicit one wins over the latitude."""
+        """Hemisphere; an explicit one wins over the latitude. There is no default: seasons would be silently wrong."""
         if self.hemisphere is not None:
             return self.hemisphere
-        return "south" if self.latitude is not None and self.latitude < 0 else "north"
+        if self.latitude is None:
+            raise ConfigError("set hemisphere or latitude: seasons depend on them")
+        return "south" if self.latitude < 0 else "north"
 
     @property
     def method(self) -> str:

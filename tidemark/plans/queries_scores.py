@@ -353,7 +353,7 @@ SMALL_GRID = {"max_features": (1.0,), "min_samples_leaf": (2,), "n_estimators":
 
 def _run_config(limiter=True):
     columns = {"shortwave": "sw", "vapour_pressure_deficit": "x1", "air_temperature": "x2"}
-    return RunConfig(columns=columns, grid=SMALL_GRID, observed_qc=OK_FLAGS, partitions=4, features=FeatureConfig(use_limiter=limiter, daily_strategy="rolling_available", min_daily_observations=MINIMUM, fallback_window_days=3))
+    return RunConfig(columns=columns, hemisphere="north", grid=SMALL_GRID, observed_qc=OK_FLAGS, partitions=4, features=FeatureConfig(use_limiter=limiter, daily_strategy="rolling_available", min_daily_observations=MINIMUM, fallback_window_days=3))
 
 
 def _learnable(spark, sf_dir):

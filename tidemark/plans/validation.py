@@ -44,7 +44,8 @@ def validate(df: DataFrame, config: RunConfig, targets: Sequence[str], qc: Mappi
     """Withhold gaps, train on the rest, predict the gaps and score them, target by target.
 
     Gaps are shared by all targets: a row is available for placing them only where every target is observed. Without
-    intervals they are placed by the scenario. Rows count for a score if withheld and observed.
+    intervals they are placed by the scenario. Rows count for a score if withheld and observed, and once: of overlapping
+    gaps the later one gives the class. The spread of bias is over gaps, so there a row counts in each of its gaps.
     """
     qc = dict(qc or {})
     drivers = {d: config.columns.get(d, d) for d in config.drivers}
@@ -62,7 +63,7 @@ def validate(df: DataFrame, config: RunConfig, targets: Sequence[str], qc: Mappi
         opts = {"hemisphere": config.side, "legacy_mode": True} if old else {**options, "limiter": config.features.use_limiter} if config.features.use_limiter else {"limiter": False}
         if check_leakage and not old:
             with warnings.catch_warnings():
-                moved = leakage.moved_features(df, intervals, t, list(drivers), "shortwave", qc=qc.get(t), accepted=config.observed_qc).where("n_moved > 0")
+                moved = leakage.moved_features(df, intervals, t, list(drivers), "shortwave", qc=qc.get(t), accepted=config.observed_qc, **opts).where("n_moved > 0")
                 if (row := moved.first()) is not None:
                     raise LeakageError(f"withheld values of {t} reach {row['feature']}")
         held = leakage.validation_features(df, intervals, t, list(drivers), "shortwave", qc.get(t), config.observed_qc, **opts)
@@ -73,7 +74,10 @@ def validate(df: DataFrame, config: RunConfig, targets: Sequence[str], qc: Mappi
         rows = rows.join(df.select("site_id", "ts", F.col("shortwave").alias("_sw")), ["site_id", "ts"])
         rows = rows.withColumn("measured", F.when(F.col("observed"), F.col("truth")))
         v = config.validation
-        scores = metrics.metrics_grid(rows, "measured", "predicted", "gap_class", masks.subsets("_sw", v.daytime_threshold), ["site_id"], list(gaps.CLASSES), list(v.subsets), definition=v.r2_definition)
+        # where gaps overlap, a row counts once for the scores, with the class of the later gap
+        once = masks.with_gap_class(inside, intervals.withColumn("gap_no", F.struct("start", "end", "gap_id")))
+        once = once.join(df.select("site_id", "ts", F.col("shortwave").alias("_sw")), ["site_id", "ts"]).withColumn("measured", F.when(F.col("observed"), F.col("truth")))
+        scores = metrics.metrics_grid(once, "measured", "predicted", "gap_class", masks.subsets("_sw", v.daytime_threshold), ["site_id"], list(gaps.CLASSES), list(v.subsets), definition=v.r2_definition)
         scores = scores.withColumns({"target": F.lit(t), "method": F.lit(config.method), "mode": F.lit(config.mode)}).withColumnRenamed("site_id", "site")
         out[t] = Validation(t, config, forest, rows, scores, metrics.bias_spread(rows, "measured", "predicted", ["site_id"]), intervals)
     return out
