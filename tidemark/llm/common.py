@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 _own: dict[str, str] = {}  # by application, where no folder is set
 
 
@@ -40,7 +41,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    # texts are long: few rows in an Arrow batch bound the memory that JVM and Python need for one
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

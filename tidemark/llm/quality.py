@@ -19,7 +19,7 @@ from .common import text_or_empty, text_slices, write_shared
 
 ORDER = 5
 FOLDS = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def gram_codes(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
