@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import assess, discounts, log_perplexity, probabilities, train, without_rejected
+from tidemark.llm.quality import _UNIT, assess, discounts, log_perplexity, probabilities, train, without_rejected
 
 
 def brute_model(texts, order):
@@ -55,7 +55,7 @@ def test_probabilities_equal_the_definition(spark, documents):
     codes = [int.from_bytes(a.encode()[:3].rjust(3, b"\0"), "big") for a in asked]
     got = {r["gram"]: r["log_p"] for r in probabilities(spark.createDataFrame([(c,) for c in set(codes)], "gram long"), model).collect()}
     for a, c in zip(asked, codes):
-        assert math.isclose(got[c], math.log(p(a.encode()[:3].rjust(3, b"\0"))), rel_tol=1e-5)
+        assert math.isclose(got[c] * _UNIT, math.log(p(a.encode()[:3].rjust(3, b"\0"))), rel_tol=1e-5)
     # probabilities of all bytes after a context add up to one
     for context in (b"th", b"zz", b"\0\0"):
         assert math.isclose(sum(p(context + bytes([x])) for x in range(256)), 1, rel_tol=1e-9)
@@ -72,6 +72,25 @@ def test_document_sums_equal_the_definition(spark, documents):
         assert r["n_bytes"] == len(b) - 3 and math.isclose(r["nll"], want, rel_tol=1e-4, abs_tol=1e-9)
 
 
+def test_discounts_are_between_nothing_and_the_count():
+    for n in ((10, 5, 5, 100), (1, 10, 100, 1), (5, 0, 1, 1), (1, 100, 1, 1), (100, 40, 20, 10), (0, 0, 0, 0)):
+        assert all(0 < d < k + 1 for k, d in enumerate(discounts(*n)))
+
+
+def test_an_unseen_gram_after_frequent_ones_spoils_no_score(spark, documents):
+    """Most counts are 4, so that the discount of 3 or more would be under 0; texts with unseen n-grams stand among others."""
+    often = [1, 2, 3, *[4] * 20]
+    words = [chr(0x41 + 2 * i) + chr(0x42 + 2 * i) for i in range(len(often))]
+    texts = [w for w, n in zip(words, often) for _ in range(n)]
+    model = train(spark.createDataFrame([(t,) for t in texts], "text string"), 2)
+    p = brute_model(texts, 2)
+    rows = [(i, words[i % len(words)] + ("~" if i % 3 == 0 else words[5]), "en") for i in range(60)]
+    for r in log_perplexity(documents(rows), model).collect():
+        b = bytes(1) + rows[r["doc_id"]][1].encode()
+        want = -sum(math.log(p(b[i : i + 2])) for i in range(len(b) - 1))
+        assert r["nll"] is not None and math.isclose(r["nll"], want, rel_tol=1e-4)
+
+
 def test_junk_goes_and_prose_stays(spark, documents):
     rnd = random.Random(5)
     good = [(i, t, "en") for i, t in enumerate(prose(6, 300))]

@@ -20,6 +20,8 @@ from .common import text_or_empty, text_slices, write_shared
 ORDER = 5
 FOLDS = 5
 _CHUNK = 1 << 18
+#: Log-probabilities are whole numbers of this part of a nat: sums are exact, whatever the order of rows and batches.
+_UNIT = 2.0**-26
 
 
 def gram_codes(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -75,11 +77,17 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more; half a count and so on where they are undefined."""
-    if not (n1 and n2 and n3):
-        return 0.5, 0.75, 1.0
-    y = n1 / (n1 + 2 * n2)
-    return tuple(float(min(max(d, 0.0), k)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more.
+
+    Half a count and so on where they are undefined or not between 0 and the count: a discount of 0 would leave nothing
+    to the lower order, and unseen n-grams without a probability.
+    """
+    if n1 and n2 and n3:
+        y = n1 / (n1 + 2 * n2)
+        found = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
+        if all(0 < d < k for k, d in enumerate(found, 1)):
+            return found
+    return 0.5, 0.75, 1.0
 
 
 def train(texts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
@@ -103,14 +111,14 @@ def train(texts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFra
 
 
 def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """gram, log_p (natural) of distinct grams of the highest order, by joins with the tables of every order."""
+    """gram, log_p (natural, in units of 2**-26) of distinct grams of the highest order, by joins with the tables of every order."""
     q = grams.withColumn("p", F.lit(1 / 256))
     for k, (parts, contexts) in enumerate(model, 1):
         suffix = F.col("gram").bitwiseAND(F.lit(_mask(k)))
         q = q.withColumn("_gram", suffix).join(parts.withColumnRenamed("gram", "_gram"), "_gram", "left")
         q = q.withColumn("_context", F.shiftright("_gram", 8)).join(contexts.withColumnRenamed("context", "_context"), "_context", "left")
         q = q.select("gram", (F.coalesce("part", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
-    return q.select("gram", F.log("p").cast("float").alias("log_p"))
+    return q.select("gram", F.round(F.log("p") / _UNIT).cast("long").alias("log_p"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +168,19 @@ def log_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], bl
     known = needs.join(probabilities(needs.select("gram").distinct(), model), "gram").select("block", "gram", "log_p")
 
     def add_up(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if table["log_p"].isna().any():
+            raise ValueError("an n-gram has no probability")
         order_of = np.argsort(table["gram"].to_numpy())
-        grams, log_p = table["gram"].to_numpy()[order_of], table["log_p"].to_numpy()[order_of].astype(np.float64)
+        grams, log_p = table["gram"].to_numpy()[order_of], table["log_p"].to_numpy()[order_of].astype(np.int64)
         out = [pd.DataFrame(columns=[*keys, "n_bytes", "nll"])]
         for rows in _unpack(packed):
             sums, sizes = [], []
             for codes, lengths in gram_codes([t.encode() for t in rows["text"]], order):
                 ends = np.cumsum(lengths)
-                total = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(grams, codes)])]) if len(codes) else np.zeros(1)
+                total = np.concatenate([[0], np.cumsum(log_p[np.searchsorted(grams, codes)])])
                 sums.append(total[ends] - total[ends - lengths])
                 sizes.append(lengths)
-            out.append(rows[list(keys)].assign(n_bytes=np.concatenate(sizes), nll=-np.concatenate(sums)))
+            out.append(rows[list(keys)].assign(n_bytes=np.concatenate(sizes), nll=-_UNIT * np.concatenate(sums)))
         return pd.concat(out[1:], ignore_index=True) if len(out) > 1 else out[0]
 
     types = dict(docs.dtypes)
