@@ -36,3 +36,11 @@ def test_few_and_no_rows(spark):
     rows = [(0, [1.0, 2.0]), (3, [0.5, 0.5]), (3, [0.5, 0.5])]
     got = [tuple(r) for r in search(spark.createDataFrame(rows, schema), "vec_id % 50 = 0").collect()]
     assert got == [(0, 1, 3, 256 * 128 + 512 * 128)]
+
+
+def test_different_vectors_of_one_id_all_count(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 2.5]), *[(i, [0.5, 0.25]) for i in range(3, 40)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in search(df, "vec_id % 50 = 0", shard_rows=10, leaf=2).orderBy("rank").collect()]
+    pairs = sorted(((sum(int(256 * a) * int(256 * b) for a, b in zip(q, v)), i) for _, q in rows[:2] for i, v in rows[2:]), key=lambda h: (-h[0], h[1]))
+    assert got == [(0, n + 1, i, s) for n, (s, i) in enumerate(pairs[:5])]

@@ -93,19 +93,20 @@ def _search_group(k: int, leaf: int):
 
 
 def quantise(vectors: DataFrame, scale: int = 256, column: str = "embedding") -> DataFrame:
-    """vec_id, vector (floor(scale * x) of each component), dim. Rows with a null vec_id, a null vector, or one that holds null, NaN or infinity are left out; of repeated vec_ids the smallest vector stays."""
+    """vec_id, vector (floor(scale * x) of each component), dim. Rows with a null vec_id, a null vector, or one that holds null, NaN or infinity are left out; equal rows count once, different vectors of one vec_id each count."""
     c = F.col(column)
     bad = F.exists(c, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     good = vectors.where(F.col("vec_id").isNotNull() & c.isNotNull() & ~bad)
     whole = F.transform(c, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return good.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")).where("dim > 0")
+    return good.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector")).distinct().withColumn("dim", F.size("vector")).where("dim > 0")
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_rows: int = 4096, query_rows: int = 2048, leaf: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products among all other rows (all, if fewer).
 
     vectors: vec_id and embedding; is_query: a condition on vec_id. Ties go to the smaller vec_id. Vectors of another
-    length than the query's are no candidates. Empty table: no rows. A search task holds one shard of about shard_rows
+    length than the query's are no candidates. Rows of one vec_id with different vectors are candidates each, and as
+    queries share one ranking; none is a candidate of its own id. Empty table: no rows. A search task holds one shard of about shard_rows
     vectors and one block of about query_rows queries, however many rows there are; extra columns do not matter.
     """
     rows = write_shared(quantise(vectors, scale), "topk-vectors")
