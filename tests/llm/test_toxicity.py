@@ -53,3 +53,14 @@ def test_defined_results_for_odd_rows(spark, edge, nothing, documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in classify(edge, none).collect()} == {0.5}
     assert classify(nothing, none).count() == 0
+
+
+def test_copies_do_not_fill_the_sample(spark, documents):
+    """A thousand copies of one text of each label: the sample is of different texts, and held-out rows are told apart."""
+    docs, labels = make()
+    copies = [(10_000 + i, docs[i % 2][1]) for i in range(2_000)]
+    marks = [(10_000 + i, labels[i % 2][1]) for i in range(2_000)]
+    out = classify(documents(docs + copies), spark.createDataFrame(labels + marks, "doc_id long, toxic int"), sample_rows=60).collect()
+    truth = dict(labels)
+    held = [r for r in out if r["held_out"] and r["doc_id"] in truth]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.9

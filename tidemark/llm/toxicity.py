@@ -91,8 +91,9 @@ def fit_linear(texts: Sequence[str], labels: np.ndarray, ratio: np.ndarray, gram
 def fit(labelled: DataFrame, grams: Sequence[int] = GRAMS, bits: int = BITS, sample_rows: int = 1500, smooth: float = 1.0) -> np.ndarray | None:
     """Feature weights with the bias last, from text and label (0/1); None if a label has no rows.
 
-    The counts behind the log-count ratios cover all rows. The linear part is fitted on sample_rows rows of each
-    label, those with the smallest hash of the text: a bounded sample of whole texts, fitted in one task.
+    The counts behind the log-count ratios cover all rows. The linear part is fitted on sample_rows different texts of
+    each label, those with the smallest hashes: a bounded sample of whole texts, fitted in one task. Copies count once
+    there, so no group of them fills the sample, and hashes are chosen before any text moves.
     """
     labelled = labelled.select(text_or_empty().alias("text"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
     labelled = write_shared(labelled, "toxicity-train")
@@ -100,14 +101,18 @@ def fit(labelled: DataFrame, grams: Sequence[int] = GRAMS, bits: int = BITS, sam
     if len(n) < 2:
         return None
     ratio = _log_odds(count_features(labelled, grams, bits), (n[0], n[1]), smooth, bits)
-    pick = [labelled.where(F.col("label") == k).orderBy(F.xxhash64("text"), "text").limit(sample_rows) for k in (0, 1)]
+    hashed = labelled.withColumn("text_hash", F.xxhash64("text"))
+    keys = hashed.select("label", "text_hash").distinct()
+    picked = [keys.where(F.col("label") == k).orderBy("text_hash").limit(sample_rows) for k in (0, 1)]
+    picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample_rows hashes at most
+    sample = hashed.join(picked, ["label", "text_hash"]).groupBy("label", "text_hash").agg(F.min("text").alias("text"))
 
     def train(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["label", "text"])
         w = fit_linear(sample["text"].tolist(), sample["label"].to_numpy(), ratio, grams, bits)
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()]})
 
-    found = pick[0].unionByName(pick[1]).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(train, "weights binary").first()["weights"]
+    found = sample.select("label", "text", F.lit(0).alias("one")).groupBy("one").applyInPandas(train, "weights binary").first()["weights"]
     return np.frombuffer(found, "<f4").astype(np.float64)
 
 
