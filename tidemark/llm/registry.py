@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, near_dedup, pieces, quality, repeats, secrets, topk, toxicity, warc
+from . import conversations, fingerprint, merkle, mixing, near_dedup, pieces, quality, repeats, secrets, topk, toxicity, warc, winnow
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,17 +54,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_repeats, op3_fingerprint, op4_toxicity, op5_topk, op6_secrets, op7_warc, op8_pieces, op9_quality, op10_mixing)}
-ORACLES: dict[str, str] = {
-    "op5_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings
-            WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
-        ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec::DOUBLE[], c.vec::DOUBLE[])::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
-        )
-        SELECT query_id, rank::INTEGER AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
-    """,
-}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_repeats, op3_fingerprint, op4_toxicity, op5_topk, op6_secrets, op7_warc, op8_pieces, op9_quality, op10_mixing, op11_conversations, op12_winnow, op13_merkle,
+    )
+}
