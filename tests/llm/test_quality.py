@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import _UNIT, assess, discounts, log_perplexity, probabilities, train, without_rejected
+from tidemark.llm.quality import _UNIT, assess, discounts, drawn, log_perplexity, probabilities, train, without_rejected
 
 
 def brute_model(texts, order):
@@ -122,3 +122,31 @@ def test_held_out_good_documents_stay_in_every_language(spark):
     assert {lang for _, lang in rate} == {"de", "en", "es", "fr"}
     assert all(r <= 0.05 for (quality, _), r in rate.items() if quality == 1), rate
     assert all(r >= 0.75 for (quality, _), r in rate.items() if quality == 0), rate
+
+
+def test_few_judges_reject_nothing_that_many_would_not(spark, documents):
+    """One, two or five judges in a language do not set its threshold alone; a pool of as few rejects nothing."""
+    assert drawn(1.0, 0, 3.0, 5.0) == 3.0 and drawn(None, 0, 3.0, 5.0) == 3.0 and drawn(1.0, 5, 3.0, 5.0) == 2.0 and drawn(1.0, 3, None, 5.0) == 1.0
+    many, foreign = prose(8, 400), [t.replace("e", "ø").replace("o", "y") for t in prose(9, 60)]
+    repeated = "word " * 3_000  # a judge as easy as none, that would let nothing else pass
+    for n in (1, 2, 5):
+        rows = [(i, t, "en") for i, t in enumerate(many)] + [(1_000 + i, t, "fø") for i, t in enumerate(foreign)] + [(2_000 + i, repeated + str(i), "fø") for i in range(60)]
+        trusted = [*range(300), *range(1_000, 1_040), *range(2_000, 2_000 + 5 * n)]
+        kept = {r["doc_id"] for r in without_rejected(documents(rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+        assert len([i for i in range(1_040, 1_060) if i in kept]) >= 19 and len([i for i in range(300, 400) if i in kept]) >= 97
+        alone = assess(documents([r for r in rows if r[2] == "fø"]), spark.createDataFrame([(2_000 + i,) for i in range(n)], "doc_id long"))
+        assert alone.where("not keep").count() == 0
+
+
+def test_batches_change_no_row(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, trusted = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    name, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    try:
+        for rows in ("37", "5000"):
+            spark.conf.set(name, rows)
+            found.append(sorted(map(tuple, assess(docs, trusted).collect())))
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1]

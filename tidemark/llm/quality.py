@@ -7,6 +7,7 @@ n-grams and sums their log-probabilities document by document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,7 +189,7 @@ def log_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], bl
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(add_up, schema)
 
 
-def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.98, slack: float = 0.1, prior_bytes: int = 200, broadcast_rows: int = 2_000_000, folds: int = FOLDS) -> DataFrame:
+def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.98, slack: float = 0.1, prior_bytes: int = 200, prior_judges: float = 5.0, broadcast_rows: int = 2_000_000, folds: int = FOLDS) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (a byte), score, threshold, keep, text_hash for each row of docs.
 
     trusted: doc_ids of text of good quality. One in folds of it, by the hash of the text so that copies lie together,
@@ -196,8 +197,8 @@ def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: fl
     documents are; the model is counted on the others. (Where one of the two parts is empty, all of it does both.)
     score is the log-perplexity, drawn towards the language's median as if prior_bytes bytes more had it, so that a
     short text is not judged by a few bytes. A document is rejected if its score is over the language's quantile plus
-    slack times the median. Languages without judges go by all judges, a null language is one of its own. Null or
-    empty text: perplexity 1, kept. Nothing trusted: everything is kept. Repeated rows: equal results. Very long texts
+    slack times the median; both are drawn towards those of all judges as if prior_judges judges more had these, and the
+    quantile of all towards HIGHEST. So languages without judges go by all judges, and few judges reject little. A null language is one of its own. Null or empty text: perplexity 1, kept. Nothing trusted: everything is kept. Repeated rows: equal results. Very long texts
     are judged whole. Empty table: no rows. Extra columns do not matter.
 
     The ids of trusted rows are broadcast only if they are counted to be few (broadcast_rows); else the join shuffles.
@@ -219,15 +220,9 @@ def assess(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: fl
     rate = F.when(F.col("n_bytes") > 0, F.col("nll") / F.col("n_bytes"))
     good = scores.where("fold = 0" if both else "fold is not null").where("n_bytes > 0")
     # A row a language: few. Medians first, for the score depends on them.
-    middle = {r["lang"]: r["m"] for r in good.groupBy("lang").agg(F.percentile_approx(rate, 0.5, 10_000).alias("m")).collect()}
-    overall = good.agg(F.percentile_approx(rate, 0.5, 10_000)).first()[0]
-    by_lang = lambda held, other: _pick(held, F.lit(other).cast("double"))
-    median = by_lang(middle, overall)
+    median = _drawn(good, rate, 0.5, prior_judges)
     score = F.coalesce((F.col("nll") + prior_bytes * median) / (F.col("n_bytes") + prior_bytes), F.lit(0.0))
-    spread = good.withColumn("score", score)
-    edge = {r["lang"]: r["q"] for r in spread.groupBy("lang").agg(F.percentile_approx("score", quantile, 10_000).alias("q")).collect()}
-    edge_all = spread.agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
-    threshold = by_lang(edge, edge_all) + slack * median
+    threshold = _drawn(good.withColumn("score", score), F.col("score"), quantile, prior_judges, HIGHEST) + slack * median
     return scores.select(
         "doc_id", "lang", "n_bytes", F.exp(F.coalesce(rate, F.lit(0.0))).alias("perplexity"), score.alias("score"), threshold.alias("threshold"),
         F.coalesce((F.col("n_bytes") == 0) | (score <= threshold), F.lit(True)).alias("keep"), "text_hash",
@@ -243,8 +238,22 @@ def without_rejected(docs: DataFrame, trusted: DataFrame, broadcast_rows: int =
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_tidemark_id")) & (F.xxhash64(text_or_empty()) == F.col("_tidemark_hash")), "left_anti")
 
 
-def _pick(values: dict, other: Column) -> Column:
-    out = other
-    for lang, value in values.items():
-        out = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(out)
+#: A log-perplexity a byte that no text is known to exceed: twice that of bytes drawn evenly.
+HIGHEST = 2 * math.log(256)
+
+
+def drawn(value: float | None, judges: int, towards: float | None, prior: float) -> float | None:
+    """value of so many judges, drawn towards another as if prior judges more had that."""
+    return towards if value is None else value if towards is None else (judges * value + prior * towards) / (judges + prior)
+
+
+def _drawn(good: DataFrame, value: Column, quantile: float, prior: float, towards: float | None = None) -> Column:
+    """The quantile of value for each language, drawn towards that of all, and that of all towards another; a row's by its lang."""
+    found = F.percentile_approx(value, quantile, 10_000).alias("q"), F.count(value).alias("n")
+    all_ = good.agg(*found).first()
+    overall = drawn(all_["q"], all_["n"], towards, prior)
+    by_lang = {r["lang"]: drawn(r["q"], r["n"], overall, prior) for r in good.groupBy("lang").agg(*found).collect()}
+    out = F.lit(overall).cast("double")
+    for lang, q in by_lang.items():
+        out = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(q)).otherwise(out)
     return out
