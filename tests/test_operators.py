@@ -9,6 +9,7 @@ from tidemark.functions import published, student
 from tidemark.functions.synthetic import synthetic_sites
 from tidemark.operators import features, fill, gaps, leakage, legacy, masks, metrics, model, reports, timeaxis
 from tidemark.plans import config
+from tidemark.plans.accounting import MANIFEST_FORMAT
 from tidemark.plans.validation import validate
 from tidemark.sources import tables
 from tidemark.streaming import scoring
@@ -365,8 +366,8 @@ def test_sources(spark, tmp_path):
     assert found.best_mode() == "RFR3" and found.columns["soil_temperature"] == "TS_F_MDS_2" and found.flags == {"LE": "LE_F_MDS_QC"}
     with pytest.raises(SourceError):
         found.require("RFR10")
-    tables.write_results({"t": df.drop("ts")}, str(tmp_path / "r"), {"kind": "x"})
-    assert tables.read_manifest(spark, str(tmp_path / "r")) == {"kind": "x"}
+    tables.write_results({"t": df.drop("ts")}, str(tmp_path / "r"), {"kind": "x", "format": MANIFEST_FORMAT}, check=False)
+    assert tables.read_manifest(spark, str(tmp_path / "r"))["kind"] == "x"
     with pytest.raises(Exception, match="exists"):
         tables.write_results({"t": df.drop("ts")}, str(tmp_path / "r"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 
 from .errors import TidemarkError
 from .operators import fill, timeaxis
-from .plans import config
-from .plans.validation import validate
+from .plans import accounting, config
+from .plans.validation import validate, wide_predictions
 from .sources import tables
 
 
@@ -29,7 +29,12 @@ def build_parser() -> argparse.ArgumentParser:
         c.add_argument("--qc", action="append", default=[], metavar="TARGET=COLUMN")
         c.add_argument("--out", required=True, help="folder for the results; must not hold any")
         c.add_argument("--on-duplicates", default="error", choices=["error", "keep_first", "keep_last"])
-        c.add_argument("--check-leakage", action="store_true")
+        c.add_argument("--min-rows", type=int, default=2, help="fewest rows to fit on")
+        if name == "validate":
+            c.add_argument("--check-leakage", action="store_true")
+            c.add_argument("--energy-balance", metavar="H,LE", help="targets whose closure is compared")
+            c.add_argument("--on-incomplete", default="missing", choices=["missing", "raise"])
+            c.add_argument("--on-shortfall", default="warn", choices=["warn", "raise", "ignore"])
     return parser
 
 
@@ -44,12 +49,16 @@ def main(argv: Sequence[str] | None = None) -> int:
         qc = dict(q.split("=", 1) for q in args.qc)
         if args.command == "validate":
             steps = timeaxis.step_of(df, settings.frequency)
-            for name, result in validate(df, settings, args.target, qc, steps=steps, check_leakage=args.check_leakage).items():
-                tables.write_results({"metrics": result.scores, "bias_spread": result.spread, "predictions": result.predictions, "gaps": result.gaps}, f"{args.out}/{name}", result.manifest())
+            pair = tuple(args.energy_balance.split(",")) if args.energy_balance else None
+            found = validate(df, settings, args.target, qc, steps=steps, check_leakage=args.check_leakage, energy_pair=pair, on_incomplete=args.on_incomplete, on_shortfall=args.on_shortfall, min_rows=args.min_rows)
+            for name, result in found.items():
+                more = {"bias_spread": result.spread, "energy_balance": result.energy_balance}
+                made = {"metrics": result.scores, "predictions": result.predictions.drop("observed"), "gaps": result.gaps, "unscored": result.unscored} | {k: v for k, v in more.items() if v is not None}
+                tables.write_results(made, f"{args.out}/{name}", result.manifest())
+            tables.write_results({"wide_predictions": wide_predictions(found)}, args.out)
         else:
             for name in args.target:
-                filled = fill.GapFiller(settings).fit(df, name, qc.get(name)).fill(df)
-                tables.write_results({"filled": filled, "report": fill.fill_report(filled, name, qc.get(name), settings.observed_qc)}, f"{args.out}/{name}", {"kind": "fill", "target": name, "config": settings.to_dict(), "digest": settings.digest()})
+                accounting.write_fill(fill.GapFiller(settings).fit(df, name, qc.get(name), args.min_rows), df, f"{args.out}/{name}")
     except TidemarkError as e:
         print(f"tidemark: {e}", file=sys.stderr)
         return 1

@@ -53,6 +53,18 @@ class SourceError(TidemarkError):
     pass
 
 
+class ProvenanceError(TidemarkError):
+    """A manifest that lacks a part, or counts that contradict each other."""
+
+
+class ValidationWarning(UserWarning):
+    """A run withheld rows but could score none of them."""
+
+
+class ModelWarning(UserWarning):
+    """A stored model was made under other versions or settings."""
+
+
 class GapWarning(UserWarning):
     """The gap scenario missed what was asked of it."""
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import FillError
+from ..errors import FillError, InsufficientTrainingData, ModelError
 from ..functions.expressions import finite, yes
-from . import features, legacy, masks, model
+from . import features, legacy, masks, model, timeaxis
 
 STATES = ("observed", "pre_filled", "unfilled_incomplete_features")
 
@@ -71,13 +74,15 @@ class GapFiller:
         options = dict(c.features.daily()) if c.features.use_limiter else {}
         low, high = c.features.radiation_thresholds
         matrix = features.feature_matrix(
-            renamed, list(drivers), "shortwave", target, "_shown", c.side, F.lit(self.origin).cast("timestamp_ntz"), limiter=c.features.use_limiter,
+            renamed, list(drivers), "shortwave", target, "_shown", c.side, None if self.origin is None else F.lit(self.origin).cast("timestamp_ntz"), limiter=c.features.use_limiter,
             **({"low": low, "high": high, "convention": c.features.boundary_convention} if c.features.use_limiter else {}), **options,
         )
         return matrix, features.feature_names(list(drivers), target, c.features.use_limiter)
 
-    def fit(self, df: DataFrame, target: str, qc: str | None = None, min_rows: int = 2) -> GapFiller:
+    def fit(self, df: DataFrame, target: str, qc: str | None = None, min_rows: int = 2, on_duplicates: str = "error", sequence: str = "ingest_seq") -> GapFiller:
+        """Several rows of a site and stamp are refused, or one is kept by the sequence column (keep_first, keep_last)."""
         c = self.config
+        df = timeaxis.resolve_duplicates(df, on_duplicates, sequence)
         self.target, self.qc = target, qc
         self.origin = df.agg(F.min("ts")).first()[0]
         seen = masks.observed(target, qc, c.observed_qc)
@@ -85,15 +90,106 @@ class GapFiller:
         truth = df.select("site_id", "ts", F.when(seen, F.col(target)).alias("_truth"))
         joined = matrix.join(truth, ["site_id", "ts"])
         self.forest = model.fit(joined, names, "_truth", c.grid, c.cv_folds, c.cv, c.cv_shuffle, c.seed, c.partitions, min_rows)
+        self.forest.settings = c.digest()
         return self
 
-    def fill(self, df: DataFrame, refill_pre_filled: bool = False, on_incomplete: str = "missing") -> DataFrame:
+    def fill(self, df: DataFrame, refill_pre_filled: bool = False, on_incomplete: str = "missing", on_duplicates: str = "error", sequence: str = "ingest_seq") -> DataFrame:
         if self.forest is None:
             raise FillError("fit before filling")
         c = self.config
+        df = timeaxis.resolve_duplicates(df, on_duplicates, sequence)
         seen = masks.observed(self.target, self.qc, c.observed_qc)
         matrix, _ = self._matrix(df, self.target, F.when(seen, F.col(self.target)))
         predicted = self.forest.predict(matrix, "_prediction", on_incomplete).select("site_id", "ts", "_prediction")
         joined = df.join(predicted, ["site_id", "ts"], "left")
         out = with_provenance(joined, self.target, "_prediction", c.method, c.digest()[:12], self.qc, c.observed_qc, refill_pre_filled)
         return out.drop("_prediction")
+
+    def metrics(self, refill_pre_filled: bool = False) -> dict[str, Column]:
+        """What to observe of a filled frame while it is written: candidates, fills and the other states of rows."""
+        t = self.target
+        present = F.col(f"{t}_original").isNotNull()
+        candidate = ~F.col(f"{t}_is_observed") if refill_pre_filled else ~present
+        return {
+            "prediction_rows": F.count_if(F.col(f"{t}_is_filled")), "prediction_rows_offered": F.count_if(candidate), "rows": F.count(F.lit(1)),
+            "observed_rows": F.count_if(F.col(f"{t}_is_observed")), "pre_filled_rows": F.count_if(present & ~F.col(f"{t}_is_observed")), "missing_rows": F.count_if(~present),
+        }
+
+
+#: States of a site's model in SiteFillers.report.
+FITTED, FEW_ROWS = "fitted", "insufficient_rows"
+
+
+class SiteFillers:
+    """A model of its own for each site, kept in a folder that driver and executors share.
+
+    The feature matrix of all sites is one job, written by site; each site's fit reads its own files alone, several sites
+    at a time, and stores its model beside them. A site with too few rows is reported and left unfilled, the others go
+    on. A fit that is run again on its folder skips the sites whose models are there.
+    """
+
+    def __init__(self, config, folder: str, parallel: int = 4):
+        self.config, self.folder, self.parallel = config, folder.rstrip("/"), parallel
+
+    def _model_path(self, site: str) -> str:
+        return f"{self.folder}/models/{quote(site, safe='')}"
+
+    def _each(self, spark: SparkSession, sites: Sequence[str], work) -> list:
+        with ThreadPoolExecutor(self.parallel) as pool:
+            return list(pool.map(inheritable_thread_target(spark)(work), sites))
+
+    def _matrix(self, df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
+        filler = GapFiller(self.config)
+        seen = masks.observed(target, self.qc, self.config.observed_qc)
+        # without an origin, elapsed hours count from each site's own first stamp
+        return filler._matrix(df, target, F.when(seen, F.col(target)))
+
+    def _by_site(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.withColumn("_site", F.col("site_id")).repartition("_site").sortWithinPartitions("_site", "ts").write.mode("overwrite").partitionBy("_site").parquet(path)
+        return df.sparkSession.read.schema(df.withColumn("_site", F.col("site_id")).schema).parquet(path)
+
+    def fit(self, df: DataFrame, target: str, qc: str | None = None, min_rows: int = 2, on_duplicates: str = "error", sequence: str = "ingest_seq") -> DataFrame:
+        """site_id, state, fitted_rows, rows, worst_feature and rows_digest of each site."""
+        c, spark = self.config, df.sparkSession
+        self.target, self.qc = target, qc
+        df = timeaxis.resolve_duplicates(df, on_duplicates, sequence)
+        matrix, self.names = self._matrix(df, target)
+        truth = df.select("site_id", "ts", F.when(masks.observed(target, qc, c.observed_qc), F.col(target)).alias("_truth"))
+        rows = self._by_site(matrix.join(truth, ["site_id", "ts"]).select("site_id", "ts", *self.names, "_truth"), "matrix")
+        self.sites = [r["_site"] for r in rows.select("_site").distinct().orderBy("_site").collect()]  # names alone
+
+        def one(site: str) -> tuple:
+            try:
+                forest = model.Forest.load(spark, self._model_path(site), c.digest())
+            except ModelError:
+                try:
+                    forest = model.fit(rows.where(F.col("_site") == site), self.names, "_truth", c.grid, c.cv_folds, c.cv, c.cv_shuffle, c.seed, c.partitions, min_rows)
+                except InsufficientTrainingData as e:
+                    return site, FEW_ROWS, e.report["fitted_rows"], e.report["rows"], e.report["worst_feature"], None
+                forest.settings = c.digest()
+                forest.save(self._model_path(site))
+            return site, FITTED, forest.report["fitted_rows"], forest.report["rows"], forest.report["worst_feature"], forest.rows
+
+        self.state = {r[0]: r for r in self._each(spark, self.sites, one)}
+        return spark.createDataFrame(list(self.state.values()), "site_id string, state string, fitted_rows long, rows long, worst_feature string, rows_digest string")
+
+    def fill(self, df: DataFrame, refill_pre_filled: bool = False, on_incomplete: str = "missing", on_duplicates: str = "error", sequence: str = "ingest_seq") -> DataFrame:
+        """df with provenance, each row by its own site's model; a site without a model keeps its gaps and says so."""
+        c, spark = self.config, df.sparkSession
+        df = timeaxis.resolve_duplicates(df, on_duplicates, sequence)
+        matrix, _ = self._matrix(df, self.target)
+        rows, path = self._by_site(matrix.select("site_id", "ts", *self.names), "asked"), f"{self.folder}/predicted"
+        nothing = spark.createDataFrame([], "site_id string, ts timestamp_ntz, _prediction double")
+        nothing.write.mode("overwrite").parquet(path)
+
+        def one(site: str) -> None:
+            if self.state[site][1] == FITTED:
+                forest = model.Forest.load(spark, self._model_path(site), c.digest())
+                found = forest.predict(rows.where(F.col("_site") == site), "_prediction", on_incomplete)
+                found.select("site_id", "ts", "_prediction").write.mode("overwrite").parquet(f"{path}/of-{quote(site, safe='')}")
+
+        self._each(spark, self.sites, one)
+        predicted = spark.read.schema(nothing.schema).option("recursiveFileLookup", True).parquet(path)
+        out = with_provenance(df.join(predicted, ["site_id", "ts"], "left"), self.target, "_prediction", c.method, c.digest()[:12], self.qc, c.observed_qc, refill_pre_filled)
+        return out.drop("_prediction")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -9,6 +10,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..functions.expressions import half_up, ratio
 from . import masks
 from .timeaxis import iso_duration, micros
 
+MANIFEST_FORMAT = 1
 CLASSES = ("short", "long", "very_long")
 SCHEMA = "site_id string, gap_id string, gap_class string, start timestamp_ntz, end timestamp_ntz, n_expected long, n_rows long, n_observed_before_masking long, observed_fraction double"
 
@@ -160,6 +163,41 @@ def count_rows(df: DataFrame, intervals: DataFrame, steps: DataFrame, is_availab
     return out.select("site_id", "gap_id", "gap_class", "start", "end", "n_expected", "n_rows", "n_observed_before_masking", "observed_fraction")
 
 
+def replay(df: DataFrame, stored: DataFrame, steps: DataFrame, is_available: Column) -> DataFrame:
+    """Each gap of a stored manifest with the rows it withheld then and withholds now, and whether these are the same."""
+    now = count_rows(df, stored.select("site_id", "gap_id", "gap_class", "start", "end"), steps, is_available)
+    now = now.select("site_id", "gap_id", F.col("n_rows").alias("now_rows"), F.col("n_observed_before_masking").alias("now_observed"))
+    out = stored.join(now, ["site_id", "gap_id"], "left")
+    zero = F.lit(0).cast("long")
+    out = out.select("site_id", "gap_id", "gap_class", "n_rows", F.coalesce("now_rows", zero).alias("now_rows"), F.col("n_observed_before_masking").alias("n_observed"), F.coalesce("now_observed", zero).alias("now_observed"))
+    return out.withColumn("same", (F.col("n_rows") == F.col("now_rows")) & (F.col("n_observed") == F.col("now_observed")))
+
+
+def save(gaps: DataFrame, path: str, scenario: GapScenario, seed: int, targets: Sequence[str], notes: Sequence[str] = ()) -> None:
+    """A manifest that can be replayed: the gaps as Parquet, and how they came about beside them."""
+    meta = {"format": MANIFEST_FORMAT, "scenario": describe(scenario), "seed": seed, "targets": list(targets), "warnings": list(notes)}
+    gaps.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("errorifexists").parquet(f"{path}/gaps")
+    gaps.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(gaps, how they came about) of a saved manifest."""
+    try:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    except (ValueError, TypeError, AnalysisException) as e:
+        raise GapError(f"{path} holds no gap manifest: {e}") from e
+    if meta.get("format") != MANIFEST_FORMAT:
+        raise GapError(f"{path} has gap manifest format {meta.get('format')}, not {MANIFEST_FORMAT}")
+    return spark.read.schema(SCHEMA).parquet(f"{path}/gaps"), meta
+
+
+def require_replay(df: DataFrame, stored: DataFrame, steps: DataFrame, is_available: Column) -> DataFrame:
+    """The stored gaps, if they withhold the same rows of df as they did."""
+    if (row := replay(df, stored, steps, is_available).where("not same").orderBy("site_id", "gap_id").first()) is not None:
+        raise GapError(f"site {row['site_id']}, gap {row['gap_id']}: {row['now_observed']} of {row['now_rows']} rows observed, {row['n_observed']} of {row['n_rows']} when it was made")
+    return stored
+
+
 def known_gaps(df: DataFrame, plan: Sequence[tuple[str, int]], durations: Mapping[str, timedelta]) -> DataFrame:
     """Intervals of a fixed plan of (class, start day) after each site's first stamp; overlap and ends past the series are refused."""
     spark = df.sparkSession
@@ -206,6 +244,13 @@ def shares(gaps: DataFrame, classes: DataFrame, withheld: DataFrame, scenario: G
     )
 
 
+def achieved(df: DataFrame, gaps: DataFrame, is_available: Column, scenario: GapScenario) -> DataFrame:
+    """shares() of placed gaps (with their row counts) against the rows they were placed in."""
+    held = masks.with_holdout(df.select("site_id", "ts", is_available.alias("_ok")), gaps.select("site_id", "start", "end"))
+    held = held.groupBy("site_id").agg(F.count_if("_ok").alias("n_available"), F.count_if(F.col("_ok") & F.col("holdout")).alias("n_withheld_observed"))
+    return shares(gaps, scenario.table(df.sparkSession), held, scenario)
+
+
 def warn_on_tolerance(table: DataFrame) -> list[str]:
     """Texts of what missed its tolerance; each is warned of as well."""
     notes = []

@@ -11,8 +11,6 @@ from ..functions.expressions import col, day_of, finite, yes
 
 DAYTIME_THRESHOLD = 20.0
 SUBSETS = ("all", "daytime", "nighttime")
-#: Gaps are joined as a nested loop up to so many rows; more are joined by day.
-FEW_GAPS = 1000
 
 
 def observed(target: str, qc: str | None = None, accepted: Sequence[int] = (0,)) -> Column:

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import itertools
 import json
+import platform
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pyspark
+from pyspark.errors import AnalysisException
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import InsufficientTrainingData, ModelError
+from ..errors import InsufficientTrainingData, ModelError, ModelWarning
 from ..functions.expressions import finite
 
 MODEL_FORMAT = 1
@@ -89,6 +93,27 @@ def _placed(rows: DataFrame, order: Sequence[str], shuffle_seed: int | None) ->
     return within.join(before, met).select(*rows.columns, (F.col("_before") + F.col("_within")).alias("_place"), "_n")
 
 
+def rows_digest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """n_rows, digest_sum, digest_xor: a digest of a multiset of rows, whatever their order and partitions.
+
+    Each row's md5 (of its columns as text, a null as a mark of its own) gives 60 bits; their sum counts repeated rows,
+    which their xor does not.
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[text(c) for c in columns])), 1, 15), 16, 10).cast("long")
+    return rows.select(bits.alias("_bits")).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.col("_bits").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest_sum"), F.coalesce(F.bit_xor("_bits"), F.lit(0)).alias("digest_xor"))
+
+
+def _digest_of(rows: DataFrame, columns: Sequence[str]) -> str:
+    found = rows_digest(rows, columns).first()
+    return ":".join(str(v) for v in found)
+
+
+def usable_rows(matrix: DataFrame, names: Sequence[str], target: str) -> DataFrame:
+    """site_id, ts, features and _y of the rows that a fit uses."""
+    return matrix.where(finite(target) & complete(names)).select("site_id", "ts", *[F.col(n).cast("double").alias(n) for n in names], F.col(target).cast("double").alias("_y"))
+
+
 @dataclass
 class Forest:
     """A fitted forest with the order of its features and how it came about."""
@@ -100,6 +125,8 @@ class Forest:
     best: dict
     score: float | None = None
     notes: tuple[str, ...] = ()
+    rows: str | None = None
+    settings: str | None = None
 
     def importances(self) -> dict[str, float]:
         return dict(zip(self.names, map(float, self.model.featureImportances.toArray())))
@@ -117,16 +144,29 @@ class Forest:
     def save(self, path: str) -> None:
         """Model and its description, through Spark's writers, so to any store."""
         self.model.write().overwrite().save(f"{path}/forest")
-        meta = {"format": MODEL_FORMAT, "names": self.names, "target": self.target, "report": self.report, "best": self.best, "score": self.score, "notes": list(self.notes)}
-        spark = SparkSession.getActiveSession()
+        meta = {"format": MODEL_FORMAT, "names": self.names, "target": self.target, "report": self.report, "best": self.best, "score": self.score, "notes": list(self.notes), "rows": self.rows, "settings": self.settings, "versions": {"pyspark": pyspark.__version__, "python": platform.python_version()}}
+        spark = SparkSession.builder.getOrCreate()  # the one there is, in any thread
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Forest:
-        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    def load(cls, spark: SparkSession, path: str, settings: str | None = None) -> Forest:
+        """A saved forest. Other settings than those given are refused, other versions than those of the fit warned of."""
+        try:
+            meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+        except (ValueError, TypeError, AnalysisException) as e:
+            raise ModelError(f"{path} is no saved forest: {e}") from e
+        if settings is not None and meta.get("settings") != settings:
+            raise ModelError(f"{path} was fitted under settings {meta.get('settings')}, not {settings}")
+        now = {"pyspark": pyspark.__version__, "python": platform.python_version()}
+        if drift := [f"{k} {v} (now {now.get(k)})" for k, v in meta.get("versions", {}).items() if v != now.get(k)]:
+            warnings.warn(f"{path} was fitted under {', '.join(drift)}", ModelWarning, stacklevel=2)
         if meta.get("format") != MODEL_FORMAT:
             raise ModelError(f"{path} has model format {meta.get('format')}, not {MODEL_FORMAT}")
-        return cls(RandomForestRegressionModel.load(f"{path}/forest"), meta["names"], meta["target"], meta["report"], meta["best"], meta["score"], tuple(meta["notes"]))
+        return cls(RandomForestRegressionModel.load(f"{path}/forest"), meta["names"], meta["target"], meta["report"], meta["best"], meta["score"], tuple(meta["notes"]), meta.get("rows"), meta.get("settings"))
+
+    def fitted_on(self, matrix: DataFrame, target: str | None = None) -> bool:
+        """Are the usable rows of this matrix those of the fit, in any order?"""
+        return self.rows == _digest_of(usable_rows(matrix, self.names, target or self.target), ["site_id", "ts", *self.names, "_y"])
 
 
 def _estimator(params: Mapping, seed: int, n_features: int) -> tuple[RandomForestRegressor, list[str]]:
@@ -165,13 +205,14 @@ def fit(
     report = fit_report(matrix, names, target).first().asDict()
     if report["fitted_rows"] < max(min_rows, folds + (cv == "time_series_split") if grid and _candidates(grid) > 1 else 1):
         raise InsufficientTrainingData(f"{target}: {report['fitted_rows']} usable rows of {report['rows']}; worst feature {report['worst_feature']}", report)
-    usable = matrix.where(finite(target) & complete(names)).select("site_id", "ts", *[F.col(n).cast("double").alias(n) for n in names], F.col(target).cast("double").alias("_y"))
+    usable = usable_rows(matrix, names, target)
     candidates = [dict(zip(grid, values)) for values in itertools.product(*grid.values())] if grid else [{}]
     if len(candidates) > 1:
         usable = with_time_blocks(usable, folds) if cv == "time_series_split" else with_folds(usable, folds, shuffle_seed=seed if shuffle else None)
     ready = VectorAssembler(inputCols=names, outputCol="_v").transform(usable).repartitionByRange(partitions, "site_id", "ts").sortWithinPartitions("site_id", "ts").persist()
     best, score, notes = candidates[0], None, []
     try:
+        digest = _digest_of(ready, ["site_id", "ts", *names, "_y"])
         if len(candidates) > 1:
             judge = RegressionEvaluator(labelCol="_y", predictionCol="_p", metricName="r2")
             scores = []
@@ -188,7 +229,7 @@ def fit(
         model = estimator.fit(ready)
     finally:
         ready.unpersist()
-    return Forest(model, names, target, report, best, score, tuple(notes))
+    return Forest(model, names, target, report, best, score, tuple(notes), digest)
 
 
 def _candidates(grid: Mapping[str, Sequence]) -> int:

@@ -14,18 +14,20 @@ from ..errors import ReportError, ReportWarning
 from ..functions import published, student
 from ..functions.expressions import clean, finite, ratio
 from ..functions.published import GAP_CLASSES, METHODS, METRICS, SUBSETS, TARGETS
+from . import constraints
 
 KEYS = ["target", "method", "mode", "gap_class", "subset"]
 DIMENSIONAL = ("rmse", "bias")
 POOLED = "all"
 
-#: Spellings of metadata headers, folded to a-z, 0-9 and _, and the columns that they mean.
+# Spellings of metadata headers of published site tables, folded to a-z, 0-9 and _, and the columns that they mean.
 HEADERS = {
     "site_id": "site_id", "site": "site_id", "siteid": "site_id", "id": "site_id", "latitude": "latitude", "lat": "latitude", "location_lat": "latitude",
     "longitude": "longitude", "lon": "longitude", "long": "longitude", "location_long": "longitude", "koppen_climate": "koppen", "koppen_climate_class": "koppen",
     "start": "start_date", "end": "end_date", "location_elev": "elevation", "system": "instrument_system", "instrument_to_canopy_height_ratio": "height_ratio",
     "included_in_94_sites": "included_in_94_site_subset",
 }
+# Codes of the land cover classes.
 IGBP = ("CRO", "CSH", "CVM", "DBF", "DNF", "EBF", "ENF", "GRA", "MF", "OSH", "SAV", "URB", "WAT", "WET", "WSA", "BSV", "SNO")
 
 
@@ -54,11 +56,17 @@ def _refuse_repeats(df: DataFrame, keys: Sequence[str], what: str) -> None:
         raise ReportError(f"{what}: the cell {', '.join(str(row[k]) for k in keys)} occurs {row['count']} times")
 
 
-def gap_length_table(reports: Mapping[str, DataFrame], units: Mapping[str, str] | None = None) -> DataFrame:
-    """The reports of many sites as one table: site from the key, missing columns null, units by target where not stated."""
+def gap_length_table(reports: Mapping[str, DataFrame] | DataFrame, units: Mapping[str, str] | None = None) -> DataFrame:
+    """The reports of many sites as one table: site from the key, missing columns null, units by target where not stated.
+
+    Reports of many sites that are one frame already, with a column site, pass as that frame: it is read once.
+    """
     units = {"NEE": published.MODEL_UNITS, "H": published.HEAT_UNITS, "LE": published.HEAT_UNITS} | dict(units or {})
-    parts = [df.withColumn("site", F.lit(site)) for site, df in reports.items()]
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if isinstance(reports, DataFrame):
+        out = reports
+    else:
+        parts = [df.withColumn("site", F.lit(site)) for site, df in reports.items()]
+        out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     known = F.lit(None).cast("string")
     for target, unit in units.items():
         known = F.when(F.col("target") == target, F.lit(unit)).otherwise(known)
@@ -99,6 +107,7 @@ def bias_iqr(table: DataFrame, stratum: str | None = None) -> DataFrame:
 def _strata(stratum: str | None) -> Column:
     """Memberships of a row: pooled, and its stratum if it has one."""
     own = F.lit(None).cast("string") if stratum is None else F.nullif(F.trim(F.col(stratum)), F.lit(""))
+    own = F.when(own == POOLED, F.raise_error(F.lit(f"a stratum is named {POOLED!r}, which is the pool of all"))).otherwise(own)
     return F.filter(F.array(F.lit(POOLED), own), lambda s: s.isNotNull())
 
 
@@ -108,30 +117,73 @@ def fold_header(name: str) -> str:
     return HEADERS.get(folded, folded)
 
 
+#: Metadata columns with what they may hold.
+NUMBERS = {"latitude": (-90, 90), "longitude": (-180, 180), "elevation": None, "height_ratio": None}
+TEXTS = ("continent", "country", "koppen")
+DATES = ("start_date", "end_date")
+MEMBER = "included_in_94_site_subset"
+# Codes of open-path, closed-path and mixed instrument systems.
+SYSTEMS = ("O", "C", "M")
+CANONICAL = ("site_id", *NUMBERS, *TEXTS, "igbp", "instrument_system", *DATES, MEMBER)
+
+
+def fold_headers(raw: DataFrame) -> DataFrame:
+    """raw under canonical headers; two columns for one field are refused, absent fields are null, others come last."""
+    found: dict[str, str] = {}
+    for c in raw.columns:
+        name = fold_header(c)
+        if name in CANONICAL and name in found:
+            raise ReportError(f"columns {found[name]!r} and {c!r} both describe {name}; keep one")
+        found.setdefault(name, c)
+    if "site_id" not in found:
+        raise ReportError(f"the metadata has no site column; it has {', '.join(raw.columns) or 'none'}")
+    named = raw.toDF(*[fold_header(c) for c in raw.columns])
+    return named.select(*[F.col(c) if c in named.columns else F.lit(None).cast("string").alias(c) for c in CANONICAL], *[c for c in named.columns if c not in CANONICAL])
+
+
+def _parsed(field: str) -> Column:
+    """A metadata field in its type; null where the text is no such value."""
+    c = F.trim(F.col(field).cast("string"))
+    if field in NUMBERS:
+        return F.expr(f"try_cast(translate(trim(cast({field} as string)), '−', '-') as double)")
+    if field in DATES:
+        return F.expr(f"cast(coalesce(try_to_date(cast({field} as string), 'yyyy-MM-dd'), try_to_date(cast({field} as string), 'yyyy'), try_to_date(substr(cast({field} as string), 1, 10), 'yyyy-MM-dd')) as timestamp_ntz)")
+    if field == MEMBER:
+        return F.when(F.lower(c).isin("✓", "true", "yes", "1"), True).when(F.lower(c).isin("×", "x", "false", "no", "0"), False)
+    c = F.nullif(c, F.lit(""))
+    return F.upper(c) if field in ("igbp", "instrument_system") else c
+
+
+def metadata_rules() -> list[constraints.Rule]:
+    """What a row of folded metadata must meet, field by field."""
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    rules = [constraints.Rule("missing", "site_id", text("site_id").isNull(), F.lit(None))]
+    for c, bounds in NUMBERS.items():
+        rules.append(constraints.Rule("unreadable", c, text(c).isNotNull() & _parsed(c).isNull(), F.col(c)))
+        if bounds:
+            rules.append(constraints.Rule("out of range", c, ~_parsed(c).between(*bounds), F.col(c)))
+    rules += [constraints.Rule("unreadable", c, text(c).isNotNull() & _parsed(c).isNull(), F.col(c)) for c in (*DATES, MEMBER)]
+    rules += [constraints.Rule("unknown code", c, text(c).isNotNull() & ~_parsed(c).isin(list(known)), F.col(c)) for c, known in (("igbp", IGBP), ("instrument_system", SYSTEMS))]
+    return [*rules, constraints.Rule("before start_date", "end_date", _parsed("end_date") < _parsed("start_date"), F.col("end_date"))]
+
+
+def site_violations(raw: DataFrame) -> DataFrame:
+    """site_id, rule, field, value of every breach in raw metadata, repeated sites among them."""
+    folded = fold_headers(raw).withColumn("site_id", F.nullif(F.trim(F.col("site_id").cast("string")), F.lit("")))
+    return constraints.violations(folded, "site_id", metadata_rules()).withColumnRenamed("key", "site_id")
+
+
 def site_metadata(raw: DataFrame) -> DataFrame:
-    """Metadata with canonical headers and types; what a column may hold is checked, other columns come last."""
-    df = raw.toDF(*[fold_header(c) for c in raw.columns])
-    if "site_id" not in df.columns:
-        raise ReportError("the metadata has no site column")
-    made = {c: F.expr(f"try_cast(translate(trim(cast({c} as string)), '−', '-') as double)") for c in ("latitude", "longitude", "elevation", "height_ratio") if c in df.columns}
-    if "igbp" in df.columns:
-        made["igbp"] = F.upper(F.trim("igbp"))
-    if "included_in_94_site_subset" in df.columns:
-        c = F.trim(F.col("included_in_94_site_subset").cast("string"))
-        made["included_in_94_site_subset"] = F.when(c.isin("✓", "true", "yes", "1"), True).when(c.isin("×", "x", "false", "no", "0"), False)
-    for c in ("start_date", "end_date"):
-        if c in df.columns:
-            made[c] = F.expr(f"cast(coalesce(try_to_date(cast({c} as string), 'yyyy-MM-dd'), try_to_date(cast({c} as string), 'yyyy')) as timestamp_ntz)")
-    df = df.withColumns(made)
-    bad = df.agg(
-        F.count_if(F.col("site_id").isNull()).alias("null"), (F.count("*") - F.count_distinct("site_id")).alias("repeated"),
-        F.count_if(F.abs("latitude") > 90 if "latitude" in df.columns else F.lit(False)).alias("latitude"),
-        F.count_if(~F.col("igbp").isin(list(IGBP)) if "igbp" in df.columns else F.lit(False)).alias("igbp"),
-    ).first()
-    for what in ("null", "repeated", "latitude", "igbp"):
-        if bad[what]:
-            raise ReportError(f"site metadata: {bad[what]} rows with a bad value ({what})")
-    return df
+    """Metadata with canonical headers and types, every field there is; other columns come last.
+
+    Values are read, not guessed: anything that breaks a rule of metadata_rules(), and a site in several rows, is refused
+    with its first sites. Applied again, the table stays as it is.
+    """
+    folded = fold_headers(raw)
+    if bad := constraints.describe(site_violations(raw), "site_id"):
+        raise ReportError("site metadata: " + "; ".join(bad))
+    made = {c: _parsed(c) for c in CANONICAL if c != "site_id"}
+    return folded.withColumns(made).withColumn("site_id", F.trim(F.col("site_id").cast("string")))
 
 
 def population_summary(metadata: DataFrame, by: str) -> DataFrame:
@@ -144,6 +196,8 @@ def population_summary(metadata: DataFrame, by: str) -> DataFrame:
 def site_report(results: DataFrame, metadata: DataFrame, warn: bool = True) -> DataFrame:
     """Results with the metadata of their site; sites without any stay."""
     meta = metadata.withColumnRenamed("site_id", "site")
+    if (again := meta.groupBy("site").count().where("count > 1").first()) is not None:
+        raise ReportError(f"site {again['site']} has {again['count']} rows of metadata, which would multiply its results")
     if warn:
         lost = [r["site"] for r in results.select("site").distinct().join(meta, "site", "left_anti").limit(5).collect()]
         if lost:

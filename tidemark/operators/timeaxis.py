@@ -6,7 +6,7 @@ Every frame has site_id and ts (timestamp_ntz or timestamp); a single site is a
 from __future__ import annotations
 
 import re
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,6 +98,60 @@ def resolve_duplicates(df: DataFrame, policy: str = "error", sequence: str = "in
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def offset_minutes(stamp: str | Column) -> Column:
+    """Minutes east of UTC that the text of a stamp ends in (Z, +05:30, -0800, +01); null without an offset."""
+    c = F.trim(col(stamp).cast("string"))
+    part = lambda k: F.regexp_extract(c, r"(?<=\d)([+-])(\d{2}):?(\d{2})?$", k)
+    clock = c.rlike(r"\d[T ]\d{2}:\d{2}")  # else -05-01 would be taken for an offset
+    signed = F.when(part(1) == "-", -1).otherwise(1) * (F.try_to_number(part(2), F.lit("99")).cast("int") * 60 + F.coalesce(F.try_to_number(F.nullif(part(3), F.lit("")), F.lit("99")).cast("int"), F.lit(0)))
+    return F.when(c.rlike(r"(?i)\dZ$"), 0).when(clock & c.rlike(r"[+-]\d{2}(:?\d{2})?$"), signed)
+
+
+def parse_offset(stamp: str | Column) -> Column:
+    """A stamp of text in UTC (timestamp_ntz): an offset is taken off, without one it stays as it is; null if it is no stamp."""
+    c = F.trim(col(stamp).cast("string"))
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?i)(?<=\d)Z$", ""), r"(?<=\d{2}:\d{2}(:\d{2})?(\.\d{1,6})?)[+-]\d{2}(:?\d{2})?$", "")
+    read = F.try_to_timestamp(bare).cast("timestamp_ntz")
+    return F.timestamp_add("MINUTE", -F.coalesce(offset_minutes(c), F.lit(0)), read)
+
+
+def stamp_report(df: DataFrame, column: str) -> DataFrame:
+    """site_id, n, n_bad, n_naive, n_offsets, first, last of stamps of text: all that cannot be read is counted."""
+    read = df.select("site_id", parse_offset(column).alias("t"), offset_minutes(column).alias("o"))
+    good = F.col("t").isNotNull()
+    return read.groupBy("site_id").agg(
+        F.count("*").alias("n"), F.count_if(~good).alias("n_bad"), F.count_if(good & F.col("o").isNull()).alias("n_naive"), F.count_distinct(F.when(good, F.col("o"))).alias("n_offsets"),
+        F.min("t").alias("first"), F.max("t").alias("last"),
+    )
+
+
+def set_text_time(df: DataFrame, column: str, mixed: str = "error") -> DataFrame:
+    """df with ts read from a column of text. Any stamp that cannot be read is refused, with the number of all of them.
+
+    Several offsets, or stamps with and without one, are refused as well unless mixed is utc; then all are taken to UTC,
+    those without as if they were.
+    """
+    if mixed not in ("error", "utc"):
+        raise TimeAxisError(f"unknown handling of mixed offsets {mixed!r}; known are error, utc")
+    seen = df.agg(F.count_if(parse_offset(column).isNull()).alias("bad"), F.count("*").alias("n"), F.collect_set(F.coalesce(offset_minutes(column).cast("string"), F.lit("none"))).alias("offsets")).first()
+    if seen["bad"]:
+        shown = df.where(parse_offset(column).isNull()).select(column).limit(3).collect()
+        raise TimeAxisError(f"{seen['bad']} of {seen['n']} stamps in {column} cannot be read, such as {', '.join(repr(r[0]) for r in shown)}")
+    if len(seen["offsets"]) > 1 and mixed == "error":
+        raise TimeAxisError(f"{column} mixes offsets from UTC (minutes: {', '.join(sorted(seen['offsets']))}); convert them to one, or take all to UTC")
+    return df.withColumn("ts", parse_offset(column))
+
+
+def interval_bounds(start: datetime, end: datetime | None = None, duration: str | timedelta | None = None) -> tuple[datetime, datetime]:
+    """(start, end) of a half-open interval given by its end or its duration, but not both."""
+    if (end is None) == (duration is None):
+        raise TimeAxisError("an interval needs an end or a duration, and not both")
+    end = end if end is not None else start + to_duration(duration)
+    if end <= start:
+        raise TimeAxisError(f"an interval must end after {start}, not at {end}")
+    return start, end
+
+
 def differences(df: DataFrame) -> DataFrame:
     """site_id, ts, gap_us: microseconds since the stamp before (null at a site's first)."""
     before = F.lag("ts").over(Window.partitionBy("site_id").orderBy("ts"))
@@ -173,8 +227,8 @@ def axis_summary(df: DataFrame, steps: DataFrame | None = None, removed: DataFra
     Counts instead of anti joins: a stamp is off the grid if it lies no whole number of steps after the first.
     """
     steps = infer_step(df) if steps is None else steps
-    first = F.min("ts").over(Window.partitionBy("site_id"))
-    at = df.select("site_id", "ts", first.alias("first")).join(steps, "site_id")
+    first = df.groupBy("site_id").agg(F.min("ts").alias("first"))
+    at = df.select("site_id", "ts").join(first.join(steps, "site_id"), "site_id")
     off = F.pmod(micros_between(F.col("first"), F.col("ts")), F.col("step_us")) != 0
     out = at.groupBy("site_id", "step_us").agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"), F.count_if(off).alias("n_off_grid")

@@ -7,10 +7,9 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ..functions import published
-from ..functions.synthetic import synthetic_sites
 from ..operators import fill, gaps, masks, metrics, model, reports, timeaxis
 from .config import FeatureConfig, RunConfig
-from .frames import CORE, GAP, INTERVALS, LONG_GAP, LONG_INTERVALS, PAIRS, SITE, SITES, TIDY, intervals, pairs, show, site_frame, sites, sql, text, tidy
+from .frames import CORE, GAP, LONG_GAP, LONG_INTERVALS, PAIRS, SITE, SITES, TIDY, intervals, pairs, show, site_frame, sites, sql, text, tidy
 from .queries_axis import HELD, MINIMUM, OK_FLAGS, held_frame
 from .validation import validate
 
@@ -166,17 +165,10 @@ def metrics_ebr_compare(spark, sf_dir):
 _tidy = f"site, target, method, mode, gap_class, subset, units, n, n_offered, {_round}"
 
 
-@query("q_report_gap_length_table", sql([TIDY], f"SELECT {_tidy} FROM tidy WHERE site IN ('NATION_1', 'NATION_7')"))
-def report_gap_length_table(spark, sf_dir):
-    t = tidy(spark, sf_dir).drop("units")
-    return show(reports.gap_length_table({s: t.where(F.col("site") == s).drop("site") for s in ("NATION_1", "NATION_7")}))
-
-
 @query("q_report_gap_length_table_all_sites", sql([TIDY], f"SELECT {_tidy} FROM tidy"))
 def report_gap_length_table_all_sites(spark, sf_dir):
     t = tidy(spark, sf_dir).drop("units")
-    names = sorted(r["site"] for r in t.select("site").distinct().collect())  # as many as there are nations
-    return show(reports.gap_length_table({s: t.where(F.col("site") == s).drop("site") for s in names}))
+    return show(reports.gap_length_table(t))
 
 
 @query("q_report_median_sites", sql([TIDY], """SELECT target, method, mode, gap_class, subset, units, count(DISTINCT site) AS n_sites, sum(n)::BIGINT AS n, sum(n_offered)::BIGINT AS n_offered,
@@ -204,11 +196,6 @@ def report_bias_iqr(spark, sf_dir):
     return show(reports.bias_iqr(_report(spark, sf_dir), "igbp"))
 
 
-@query("q_report_site_report", sql([TIDY, SITES], f"SELECT {_tidy}, igbp, latitude FROM tidy LEFT JOIN sites ON site = site_id WHERE subset = 'all'"))
-def report_site_report(spark, sf_dir):
-    return show(_report(spark, sf_dir).where("subset = 'all'"))
-
-
 @query("q_report_site_report_all_subsets", sql([TIDY, SITES], f"SELECT {_tidy}, igbp, latitude FROM tidy LEFT JOIN sites ON site = site_id"))
 def report_site_report_all_subsets(spark, sf_dir):
     return show(_report(spark, sf_dir))
@@ -296,17 +283,6 @@ def report_s10_compare(spark, sf_dir):
     return show(reports.compare_with_published_welch(stats.withColumns({"method": F.lit("RFR3"), "baseline": F.lit("MDS")})))
 
 
-@query("q_report_evidence", """SELECT target, method, max(n) AS n_sites, string_agg(name, ', ' ORDER BY name) AS tables FROM (VALUES
-    """ + ",\n    ".join(f"('{name}', '{t}', '{m}', {n}::BIGINT)" for name, ts, ms, n in published.SITE_TABLES for t in ts for m in ms) + ") AS e(name, target, method, n) GROUP BY 1, 2")
-def report_evidence(spark, sf_dir):
-    return reports.site_level_evidence(published.evidence_table(spark))
-
-
-@query("q_published_medians", "WITH " + _pub + " SELECT * FROM pub WHERE target IN ('H', 'LE') AND subset = 'all'")
-def published_medians(spark, sf_dir):
-    return published.medians_table(spark, target=("H", "LE"), subset=("all",))
-
-
 # --- models and fills ---------------------------------------------------------------------------------------------
 
 DAYMEAN = f"{HELD}, daymean AS (SELECT site_id, ts::DATE AS day, avg(v) FILTER (observed) AS p FROM held GROUP BY 1, 2 HAVING count(*) FILTER (observed) >= {MINIMUM})"
@@ -381,13 +357,8 @@ def fill_rf(spark, sf_dir):
 @query("q_validate_rf")
 def validate_rf(spark, sf_dir):
     df = _learnable(spark, sf_dir).drop("holdout")
-    found = validate(df, _run_config(), ["le"], {"le": "qc"}, intervals(df, INTERVALS[:2]), check_leakage=False)
+    found = validate(df, _run_config(), ["le"], {"le": "qc"}, intervals(df), check_leakage=True)
     return show(found["le"].scores, 4)
 
 
-@query("q_synth_site")
-def synth_site(spark, sf_dir):
-    return show(synthetic_sites(spark, sites=2, days=40))
-
-
 __all__ = ["GAP", "ORACLES", "QUERIES"]

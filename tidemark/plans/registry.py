@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_axis, queries_scores
+from . import queries_axis, queries_runs, queries_scores
 
-QUERIES = {**queries_axis.QUERIES, **queries_scores.QUERIES}
-ORACLES: dict[str, str] = {**queries_axis.ORACLES, **queries_scores.ORACLES}
+QUERIES = {**queries_axis.QUERIES, **queries_scores.QUERIES, **queries_runs.QUERIES}
+ORACLES: dict[str, str] = {**queries_axis.ORACLES, **queries_scores.ORACLES, **queries_runs.ORACLES}

@@ -9,11 +9,13 @@ from dataclasses import dataclass
 from io import BytesIO
 from xml.etree import ElementTree
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SourceError
+from ..errors import ProvenanceError, SourceError
 from ..functions.expressions import finite
+from ..plans.accounting import MANIFEST_FORMAT, require_complete
 from ..plans.config import DRIVERS, MODES
 
 SENTINEL = -9999.0
@@ -46,8 +48,8 @@ def prepare_stamped(df: DataFrame, stamp: str = "TIMESTAMP_START", site: str | N
         raise SourceError(f"there is no stamp column {stamp!r}")
     out = df.withColumn("ts", parse_stamp(stamp)).withColumn("site_id", F.lit(site) if site else F.col("site_id"))
     raw = [c for c in ("TIMESTAMP_START", "TIMESTAMP_END") if c in out.columns]
-    if (bad := out.where("ts is null").limit(1).count()) > 0:
-        raise SourceError(f"{stamp} lacks {bad} stamps or more")
+    if (bad := out.where("ts is null").count()) > 0:
+        raise SourceError(f"{stamp} lacks {bad} stamps")
     out = out.drop(*raw) if drop else out
     return replace_sentinel(out, sentinel, [c for c in out.columns if c not in raw])
 
@@ -161,8 +163,13 @@ def site_scores(rows: DataFrame, methods: Sequence[str], metrics: Sequence[str]
     return out
 
 
-def write_results(tables: Mapping[str, DataFrame], folder: str, manifest: Mapping | None = None) -> None:
-    """Each table as CSV in a folder of its own, and the manifest as JSON; existing ones are not overwritten."""
+def write_results(tables: Mapping[str, DataFrame], folder: str, manifest: Mapping | None = None, check: bool = True) -> None:
+    """Each table as CSV in a folder of its own, and the manifest as JSON; existing ones are not overwritten.
+
+    A manifest that lacks a part is refused before anything is written, unless check is off.
+    """
+    if manifest is not None and check:
+        require_complete(manifest)
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("errorifexists").option("header", True).csv(f"{folder}/{name}")
@@ -171,4 +178,11 @@ def write_results(tables: Mapping[str, DataFrame], folder: str, manifest: Mappin
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict:
-    return json.loads(spark.read.text(f"{folder}/manifest").first()["value"])
+    """The manifest of a folder of results, as data; anything else that stands there is refused."""
+    try:
+        found = json.loads("\n".join(r["value"] for r in spark.read.text(f"{folder}/manifest").collect()))
+    except (ValueError, AnalysisException) as e:
+        raise ProvenanceError(f"no manifest can be read from {folder}: {e}") from e
+    if not isinstance(found, Mapping) or found.get("format") != MANIFEST_FORMAT:
+        raise ProvenanceError(f"{folder} has no manifest of format {MANIFEST_FORMAT}")
+    return dict(found)
