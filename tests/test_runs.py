@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,34 @@ def test_a_gap_manifest_can_be_replayed(spark, year, tmp_path):
         gaps.load(spark, str(tmp_path / "h"))
     with pytest.warns(GapWarning, match="share off"):
         assert gaps.warn_on_tolerance(gaps.achieved(year, stored, ok, gaps.GapScenario()))
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_gaps_are_those_of_a_plain_walk(spark, overlap):
+    """Placing by totals of days draws and takes the starts that a walk over the whole series does, over days without rows as well."""
+    df = synthetic_sites(spark, sites=2, days=40, seed=4).where("dayofyear(ts) % 11 <> 3 and not (site_id like '%1' and minute(ts) = 30)").persist()
+    ok, steps = masks.observed("LE", "LE_QC"), timeaxis.step_of(df, "30min")
+    day = timedelta(days=1)
+    scenario = gaps.GapScenario(durations={"short": day / 2, "long": 2 * day, "very_long": 5 * day}, missing_fraction=0.3, max_attempts=6, allow_overlap=overlap, min_observed_fraction=0.4)
+    plan = {(r["site_id"], r["gap_class"]): (r["events"], r["per_event"]) for r in gaps.allocate(gaps.site_spans(df, steps, ok), scenario.table(spark), scenario.missing_fraction, scenario.basis).collect()}
+    want = []
+    for site in sorted({s for s, _ in plan}):
+        rows = sorted((r["ts"], r["ok"]) for r in df.where(F.col("site_id") == site).select("ts", ok.alias("ok")).collect())
+        rng, taken = np.random.default_rng(9), []
+        for name in ("very_long", "long", "short"):
+            events, expected = plan[site, name]
+            span = scenario.durations[name]
+            starts = sum(t + span <= rows[-1][0] + timedelta(minutes=30) for t, _ in rows)
+            for _ in range(events if starts else 0):
+                for _ in range(scenario.max_attempts):
+                    lo = int(rng.integers(starts))
+                    hi = lo + sum(rows[lo][0] <= t < rows[lo][0] + span for t, _ in rows)
+                    n = sum(o for _, o in rows[lo:hi])
+                    if (overlap or all(hi <= a or b <= lo for a, b, *_ in taken)) and n >= scenario.min_observed_fraction * expected:
+                        taken.append((lo, hi, name, n))
+                        break
+                else:
+                    break
+        want += [(site, name, rows[lo][0], hi - lo, n) for lo, hi, name, n in taken]
+    got = gaps.place(df, steps, ok, scenario, 9, "ignore").select("site_id", "gap_class", "start", "n_rows", "n_observed_before_masking").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want

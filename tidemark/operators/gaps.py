@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, GapError, GapWarning
 from ..functions.expressions import half_up, ratio
+from ..functions.lineage import cut
 from . import masks
 from .timeaxis import iso_duration, micros
 
@@ -80,57 +81,129 @@ def site_spans(df: DataFrame, steps: DataFrame, is_available: Column) -> DataFra
     return ends.join(steps, "site_id").select("site_id", "n_available", "step_us", "span_us")
 
 
+def _daily(rows: DataFrame) -> DataFrame:
+    """site_id, day, n, before, free_before, first_us of rows (site_id, us, available): totals of a day and of those before it."""
+    days = rows.groupBy("site_id", "day").agg(F.count("*").alias("n"), F.count_if("available").alias("free"))
+    before = Window.partitionBy("site_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    past = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
+    return days.select("site_id", "day", "n", "free", past("n").alias("before"), past("free").alias("free_before"))
+
+
+_DAY_US = 86_400 * 10**6
+
+
+def _rows_before(points: DataFrame, rows: DataFrame, days: DataFrame) -> DataFrame:
+    """points (site_id, point, us) with at and free: rows of the site before us, and those of them that are available.
+
+    The totals of the days before come by a window over days and points; only the rows of a point's own day meet it.
+    """
+    points = points.withColumn("day", F.floor(F.col("us") / _DAY_US).cast("long"))
+    passed = days.select("site_id", "day", F.lit(1).alias("kind"), (F.col("before") + F.col("n")).alias("_n"), (F.col("free_before") + F.col("free")).alias("_free"), F.lit(None).cast("long").alias("point"), F.lit(None).cast("long").alias("us"))
+    asked = points.select("site_id", "day", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("_n"), F.lit(None).cast("long").alias("_free"), "point", "us")
+    so_far = Window.partitionBy("site_id").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    both = passed.unionByName(asked).withColumns({c: F.coalesce(F.last(c, True).over(so_far), F.lit(0).cast("long")) for c in ("_n", "_free")}).where("kind = 0")
+    own = both.select("site_id", "day", "point", "us").join(rows.select("site_id", "day", F.col("us").alias("_us"), "available"), ["site_id", "day"]).where("_us < us")
+    own = own.groupBy("site_id", "point").agg(F.count("*").alias("_k"), F.count_if("available").alias("_kf"))
+    out = both.select("site_id", "point", "us", "_n", "_free").join(own, ["site_id", "point"], "left")
+    zero = F.lit(0).cast("long")
+    return out.select("site_id", "point", "us", (F.col("_n") + F.coalesce("_k", zero)).alias("at"), (F.col("_free") + F.coalesce("_kf", zero)).alias("free"))
+
+
+def _stamps_at(points: DataFrame, rows: DataFrame, days: DataFrame) -> DataFrame:
+    """points (site_id, point, at) with us: the stamp of the row at that place of its site, from 0."""
+    holds = days.select("site_id", F.col("before").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("point"), "day")
+    asked = points.select("site_id", "at", F.lit(1).alias("kind"), "point", F.lit(None).cast("long").alias("day"))
+    so_far = Window.partitionBy("site_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    day_of = holds.unionByName(asked).withColumns({"day": F.last("day", True).over(so_far), "_first": F.last(F.when(F.col("kind") == 0, F.col("at")), True).over(so_far)}).where("kind = 1")
+    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("site_id", "day").orderBy("us")) - 1).select("site_id", "day", "_k", "us")
+    return day_of.withColumn("_k", F.col("at") - F.col("_first")).join(numbered, ["site_id", "day", "_k"]).select("site_id", "point", "at", "us")
+
+
 def place(df: DataFrame, steps: DataFrame, is_available: Column, scenario: GapScenario, seed: int = 42, on_shortfall: str = "warn") -> DataFrame:
     """Gaps of each site, placed at random: longest class first, each start drawn until its gap fits and holds enough.
 
-    One task per site: each choice depends on those before it. Only stamps and a flag of a site are in memory.
+    Each choice depends on those before it, so a site's choices are made by one task - of its draws alone. A round a
+    class: every start that could be drawn is listed, Spark finds its stamp, its end and the available rows within by
+    totals of days and the rows of two days, and the task walks through the answers. No task holds a site's rows; what
+    a site has there grows with its planned gaps times max_attempts.
     on_shortfall: warn, raise or ignore where fewer gaps could be placed than planned.
     """
     if on_shortfall not in ("warn", "raise", "ignore"):
         raise GapError(f"unknown on_shortfall {on_shortfall!r}; known are warn, raise, ignore")
     spark = df.sparkSession
     plan = allocate(site_spans(df, steps, is_available), scenario.table(spark), scenario.missing_fraction, scenario.basis)
-    wide = plan.groupBy("site_id").agg(F.collect_list(F.struct("gap_class", "events", "per_event")).alias("plan")).join(steps, "site_id")
-    wide = wide.select(*[F.col(c).alias(c) for c in wide.columns])  # columns of its own: both sides come from df
-    rows = df.select("site_id", "ts", is_available.alias("available"))
+    plan = cut(plan)
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    rows = df.select("site_id", us.alias("us"), is_available.alias("available")).withColumn("day", F.floor(F.col("us") / _DAY_US).cast("long"))
+    rows = cut(rows)  # every round reads it; the other tables that are cut are small
+    days = cut(_daily(rows))
+    last = rows.groupBy("site_id").agg(F.max("us").alias("last_us"))
+    steps = cut(steps.select("site_id", "step_us"))
     durations = {c: micros(d) for c, d in scenario.durations.items()}
-
-    def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        left = left.sort_values("ts")
-        at = left["ts"].to_numpy("datetime64[us]").astype(np.int64)
-        free = np.concatenate([[0], np.cumsum(left["available"].to_numpy(bool))])
-        step, rng = int(right["step_us"].iloc[0]), np.random.default_rng(seed)
-        taken: list[tuple[int, int]] = []
-        found = []
-        planned = {p["gap_class"]: (int(p["events"]), int(p["per_event"])) for p in right["plan"].iloc[0]}
-        for name in sorted((c for c in CLASSES if planned.get(c, (0, 0))[0]), key=lambda c: (-durations[c], CLASSES.index(c))):
-            events, expected = planned[name]
-            starts = np.searchsorted(at, at[-1] + step - durations[name], "right")
-            for _ in range(events if starts else 0):
-                for _ in range(scenario.max_attempts):
-                    lo = int(rng.integers(starts))
-                    hi = int(np.searchsorted(at, at[lo] + durations[name], "left"))
-                    if not scenario.allow_overlap and any(a < hi and lo < b for a, b in taken):
-                        continue
-                    n = int(free[hi] - free[lo])
-                    if n + 1e-9 >= scenario.min_observed_fraction * expected:
-                        taken.append((lo, hi))
-                        found.append((at[lo], CLASSES.index(name), name, expected, hi - lo, n))
-                        break
+    attempts, overlap, least = scenario.max_attempts, scenario.allow_overlap, scenario.min_observed_fraction
+
+    # history: what each class before drew, so that a site's generator goes on where it was
+    kept, kept_schema = None, "site_id string, start long, rank int, gap_class string, n_expected long, lo long, hi long, n long"
+    history = spark.createDataFrame([], "site_id string, starts long, draws long, rank int")
+    order = sorted(CLASSES, key=lambda c: (-durations[c], CLASSES.index(c)))
+    for turn, name in enumerate(order):
+        length = durations[name]
+        asked = plan.where((F.col("gap_class") == name) & (F.col("events") > 0)).join(last, "site_id").join(steps, "site_id")
+        ends = asked.select("site_id", F.lit(0).cast("long").alias("point"), (F.col("last_us") + F.col("step_us") - length + 1).alias("us"))
+        first = asked.join(_rows_before(ends, rows, days).select("site_id", F.col("at").alias("starts")), "site_id").where("starts > 0")
+        first = cut(first.select("site_id", "events", "per_event", "starts"))
+
+        def drawn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty:
+                return pd.DataFrame({"site_id": [], "point": [], "at": []})
+            rng = np.random.default_rng(seed)
+            for starts, draws in right.sort_values("rank")[["starts", "draws"]].itertuples(index=False):
+                for _ in range(draws):
+                    rng.integers(starts)
+            starts, most = int(left["starts"].iloc[0]), int(left["events"].iloc[0]) * attempts
+            return pd.DataFrame({"site_id": left["site_id"].iloc[0], "point": np.arange(most), "at": [int(rng.integers(starts)) for _ in range(most)]})
+
+        draws = first.groupBy("site_id").cogroup(history.groupBy("site_id")).applyInPandas(drawn, "site_id string, point long, at long")
+        draws = cut(draws)
+        begun = _stamps_at(draws.select("site_id", "at").distinct().withColumn("point", F.col("at")), rows, days).select("site_id", F.col("at").alias("lo"), "us")
+        begun = cut(begun)
+        where = lambda shift: _rows_before(begun.select("site_id", F.col("lo").alias("point"), (F.col("us") + shift).alias("us")), rows, days)
+        found = where(0).select("site_id", F.col("point").alias("lo"), F.col("us").alias("start"), F.col("free").alias("free_lo"))
+        found = found.join(where(length).select("site_id", F.col("point").alias("lo"), F.col("at").alias("hi"), F.col("free").alias("free_hi")), ["site_id", "lo"])
+        tries = draws.join(first, "site_id").join(found.withColumnRenamed("lo", "at"), ["site_id", "at"])
+        tries = tries.select("site_id", F.lit(name).alias("gap_class"), "events", "per_event", "starts", "point", F.col("at").alias("lo"), "hi", "start", (F.col("free_hi") - F.col("free_lo")).alias("n"))
+
+        def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            columns = [c.split()[0] for c in kept_schema.split(", ")] + ["starts", "draws"]
+            if left.empty:
+                return pd.DataFrame(columns=columns)
+            taken = list(zip(right["lo"], right["hi"])) if len(right) else []
+            events, expected, out, used, failed = int(left["events"].iloc[0]), int(left["per_event"].iloc[0]), [], 0, 0
+            for t in left.sort_values("point").itertuples(index=False):
+                used += 1
+                if (overlap or not any(a < t.hi and t.lo < b for a, b in taken)) and t.n + 1e-9 >= least * expected:
+                    taken.append((t.lo, t.hi))
+                    out.append((t.site_id, t.start, CLASSES.index(t.gap_class), t.gap_class, expected, t.lo, t.hi, t.n))
+                    failed = 0
                 else:
+                    failed += 1
+                if len(out) == events or failed == attempts:
                     break
-        found.sort(key=lambda g: (g[0], g[1]))
-        numbers, out = dict.fromkeys(CLASSES, 0), []
-        for start, _, name, expected, n_rows, n in found:
-            numbers[name] += 1
-            begin = np.datetime64(int(start), "us")
-            out.append((left["site_id"].iloc[0], f"{name}-{numbers[name]:02d}", name, begin, begin + np.timedelta64(durations[name], "us"), expected, n_rows, n, n / expected))
-        return pd.DataFrame(out, columns=columns)
-
-    gaps = rows.groupBy("site_id").cogroup(wide.groupBy("site_id")).applyInPandas(draw, SCHEMA)
+            site, starts = left["site_id"].iloc[0], int(left["starts"].iloc[0])
+            out.append((site, 0, -1, None, 0, 0, 0, 0))  # how many draws the class took
+            return pd.DataFrame([(*o, starts, used) for o in out], columns=columns)
+
+        so_far = kept if kept is not None else spark.createDataFrame([], kept_schema)
+        made = cut(tries.groupBy("site_id").cogroup(so_far.groupBy("site_id")).applyInPandas(choose, kept_schema + ", starts long, draws long"))
+        history = history.unionByName(made.where("gap_class is null").select("site_id", "starts", "draws", F.lit(turn).alias("rank")))
+        kept = so_far.unionByName(made.where("gap_class is not null").drop("starts", "draws"))
+    number = F.row_number().over(Window.partitionBy("site_id", "gap_class").orderBy("start", "lo"))
+    stamp = lambda c: F.timestamp_add("MICROSECOND", c, F.lit("1970-01-01").cast("timestamp_ntz"))
+    length = F.element_at(F.create_map(*[x for c in CLASSES for x in (F.lit(c), F.lit(durations[c]))]), F.col("gap_class"))
+    gaps = kept.select(
+        "site_id", F.concat("gap_class", F.lit("-"), F.lpad(number.cast("string"), 2, "0")).alias("gap_id"), "gap_class", stamp(F.col("start")).alias("start"), stamp(F.col("start") + length).alias("end"),
+        "n_expected", (F.col("hi") - F.col("lo")).alias("n_rows"), F.col("n").alias("n_observed_before_masking"), (F.col("n") / F.col("n_expected")).alias("observed_fraction"),
+    )
     if on_shortfall != "ignore":
         for text in shortfalls(plan, gaps):
             if on_shortfall == "raise":
