@@ -35,7 +35,7 @@ def test_few_and_no_rows(spark):
     assert search(spark.createDataFrame([], schema), "vec_id % 50 = 0").count() == 0
     rows = [(0, [1.0, 2.0]), (3, [0.5, 0.5]), (3, [0.5, 0.5])]
     got = [tuple(r) for r in search(spark.createDataFrame(rows, schema), "vec_id % 50 = 0").collect()]
-    assert got == [(0, 1, 3, 256 * 128 + 512 * 128)]
+    assert got == [(0, n, 3, 256 * 128 + 512 * 128) for n in (1, 2)]
 
 
 def test_different_vectors_of_one_id_all_count(spark):
@@ -44,3 +44,17 @@ def test_different_vectors_of_one_id_all_count(spark):
     got = [tuple(r) for r in search(df, "vec_id % 50 = 0", shard_rows=10, leaf=2).orderBy("rank").collect()]
     pairs = sorted(((sum(int(256 * a) * int(256 * b) for a, b in zip(q, v)), i) for _, q in rows[:2] for i, v in rows[2:]), key=lambda h: (-h[0], h[1]))
     assert got == [(0, n + 1, i, s) for n, (s, i) in enumerate(pairs[:5])]
+
+
+def test_equal_rows_count_each(spark):
+    """As candidates and as queries; more copies than k, and copies that push others out of the k best."""
+    rnd = random.Random(8)
+    rows = [(i, [rnd.choice([0.25, 0.5, -0.5]) for _ in range(4)]) for i in range(120)]
+    rows += [rows[i] for i in (50, 7, 7, 9)] + [(200, [0.5] * 4)] * 3 + [(31, [2.0] * 4)] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in search(df, "vec_id % 50 = 0", shard_rows=30, leaf=4).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        pairs = sorted(((sum(int(256 * a) * int(256 * b) for a, b in zip(x, v)), i) for j, x in rows if j == q for i, v in rows if i != q), key=lambda h: (-h[0], h[1]))
+        want += [(q, n + 1, i, s) for n, (s, i) in enumerate(pairs[:5])]
+    assert got == want

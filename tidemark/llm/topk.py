@@ -17,17 +17,17 @@ from pyspark.sql import functions as F
 
 from .common import write_shared
 
-_HITS = "query_id long, vec_id long, score long"
+_HITS = "query_id long, vec_id long, score long, copies long"
 
 
 class KDTree:
     """Median splits of integer vectors along the widest side; boxes are tight around the vectors they hold."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, leaf: int):
         self.order, self.lo, self.hi, self.kids, self.span = np.argsort(ids), [], [], [], []
         self._vectors = vectors
         self._build(0, len(ids), leaf)
-        self.ids, self.vectors = ids[self.order], vectors[self.order]
+        self.ids, self.vectors, self.copies = ids[self.order], vectors[self.order], copies[self.order]
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
 
     def _build(self, start: int, end: int, leaf: int) -> int:
@@ -45,9 +45,9 @@ class KDTree:
         """Largest inner product of each query with any point of each node's box."""
         return np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
 
-    def search(self, query_id: int, query: np.ndarray, bound: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """(score, -vec_id) of the k best vectors but the query's own; those under floor may be left out."""
-        best: list[tuple[int, int]] = []
+    def search(self, query_id: int, query: np.ndarray, bound: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int, int]]:
+        """(score, -vec_id, copies) of the k best vectors but the query's own; those under floor may be left out."""
+        best: list[tuple[int, int, int]] = []
         kth = -np.inf if floor is None else floor
         heap = [(-bound[0], 0)]
         while heap and -heap[0][0] >= kth:  # an equal score may win by a smaller vec_id
@@ -61,7 +61,7 @@ class KDTree:
             scores = self.vectors[a:b] @ query
             for i in np.flatnonzero(scores >= kth):
                 if (vec := int(self.ids[a + i])) != query_id:
-                    hit = (int(scores[i]), -vec)
+                    hit = (int(scores[i]), -vec, int(self.copies[a + i]))
                     if len(best) < k:
                         heapq.heappush(best, hit)
                     elif hit > best[0]:
@@ -79,34 +79,35 @@ def _exact(a: np.ndarray) -> np.ndarray:
 def _search_group(k: int, leaf: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame(columns=["query_id", "vec_id", "score"])
+            return pd.DataFrame(columns=["query_id", "vec_id", "score", "copies"])
         vectors, queries = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
         both = _exact(np.concatenate([vectors, queries]))
-        tree, queries = KDTree(left["vec_id"].to_numpy(), both[: len(vectors)], leaf), both[len(vectors) :]
+        tree, queries = KDTree(left["vec_id"].to_numpy(), both[: len(vectors)], left["copies"].to_numpy(), leaf), both[len(vectors) :]
         rows, bounds = [], tree.bounds(queries)
         floors = right["kth"].astype(object).where(right["kth"].notna(), None)
-        for query_id, q, bound, floor in zip(right["vec_id"], queries, bounds, floors):
-            rows += [(query_id, -vec, score) for score, vec in tree.search(query_id, q, bound, k, None if floor is None else int(floor))]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+        for query_id, q, bound, floor, times in zip(right["vec_id"], queries, bounds, floors, right["copies"]):
+            rows += [(query_id, -vec, score, times * copies) for score, vec, copies in tree.search(query_id, q, bound, k, None if floor is None else int(floor))]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "copies"])
 
     return run
 
 
 def quantise(vectors: DataFrame, scale: int = 256, column: str = "embedding") -> DataFrame:
-    """vec_id, vector (floor(scale * x) of each component), dim. Rows with a null vec_id, a null vector, or one that holds null, NaN or infinity are left out; equal rows count once, different vectors of one vec_id each count."""
+    """vec_id, vector (floor(scale * x) of each component), copies, dim. Rows with a null vec_id, a null vector, or one that holds null, NaN or infinity are left out; equal rows become one that counts them in copies."""
     c = F.col(column)
     bad = F.exists(c, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     good = vectors.where(F.col("vec_id").isNotNull() & c.isNotNull() & ~bad)
     whole = F.transform(c, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return good.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector")).distinct().withColumn("dim", F.size("vector")).where("dim > 0")
+    return good.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector")).groupBy("vec_id", "vector").agg(F.count("*").alias("copies")).withColumn("dim", F.size("vector")).where("dim > 0")
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_rows: int = 4096, query_rows: int = 2048, leaf: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products among all other rows (all, if fewer).
 
     vectors: vec_id and embedding; is_query: a condition on vec_id. Ties go to the smaller vec_id. Vectors of another
-    length than the query's are no candidates. Rows of one vec_id with different vectors are candidates each, and as
-    queries share one ranking; none is a candidate of its own id. Empty table: no rows. A search task holds one shard of about shard_rows
+    length than the query's are no candidates. Rows of one vec_id, equal or not, are candidates each, and as queries
+    share one ranking, in which each pair of rows counts; none is a candidate of its own id. Equal rows are searched
+    once and counted at the end. Empty table: no rows. A search task holds one shard of about shard_rows
     vectors and one block of about query_rows queries, however many rows there are; extra columns do not matter.
     """
     rows = write_shared(quantise(vectors, scale), "topk-vectors")
@@ -118,13 +119,14 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_row
     key, fn = ("dim", "shard", "block"), _search_group(k, leaf)
 
     def walk(asked: DataFrame) -> DataFrame:
-        columns = [*key, "vec_id", "vector", "kth"]
+        columns = [*key, "vec_id", "vector", "copies", "kth"]
         asked = asked.select(*[F.col(c).alias(c) for c in columns])  # columns of its own: both sides come from rows
         return held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(fn, _HITS)
 
     own = write_shared(walk(queries.withColumn("kth", F.lit(None).cast("long"))), "topk-own")
     kth = own.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("least").alias("kth"))
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))
-    rest = queries.join(kth, "vec_id", "left").select("dim", "block", "vec_id", "vector", "kth", F.explode(others).alias("shard"))
+    rest = queries.join(kth, "vec_id", "left").select("dim", "block", "vec_id", "vector", "copies", "kth", F.explode(others).alias("shard"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return own.unionByName(walk(rest)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    each = F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))).alias("copy")
+    return own.unionByName(walk(rest)).select("query_id", "vec_id", "score", each).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
