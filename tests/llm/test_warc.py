@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 
@@ -70,3 +71,33 @@ def test_damaged_archives_are_refused():
         list(warc._parse(record))
     with pytest.raises(ValueError, match="ends within"):
         list(warc._parse(record[:-8]))
+
+
+def test_a_gzip_member_for_each_record(spark):
+    """As most crawlers write them; field names in any case, without the blank, continued; other digests and types."""
+    body = b"<p>body</p>"
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nX: \xff\r\n\r\n" + body
+    heads = [
+        ("warcinfo", b"content-type:application/warc-fields\r\n", b"software: x\r\n"),
+        ("response", f"Content-Type: Application/HTTP; msgtype=response\r\nwarc-payload-digest:sha1:{sha}\r\nWARC-Target-URI: http://a\r\n /b\r\n".encode(), http),
+        ("response", b"Content-Type: application/http\r\nWARC-Payload-Digest: md5:abc\r\n", http),
+        ("response", b"Content-Type: text/dns\r\n", b"a. 1 IN A 1.2.3.4"),
+        ("resource", b"", b"\x00\xff" * 5),
+    ]
+    records = [f"WARC/1.1\r\nWARC-TYPE: {kind}\r\nWARC-Record-ID: <{n}>\r\n".encode() + more + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n" for n, (kind, more, block) in enumerate(heads)]
+    path = new_path(spark, "warc-members")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path + "/a.warc.gz")
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop)
+    out.write(bytearray(b"".join(map(gzip.compress, records))))
+    out.close()
+    got = {r["record_id"]: r for r in warc.read_records(spark, path).collect()}
+    assert [got[f"<{n}>"]["type"] for n in range(5)] == [h[0] for h in heads]
+    assert [None if got[f"<{n}>"]["payload"] is None else bytes(got[f"<{n}>"]["payload"]) for n in range(5)] == [None, body, body, b"a. 1 IN A 1.2.3.4", b"\x00\xff" * 5]
+    assert got["<1>"]["target_uri"] == "http://a /b" and got["<1>"]["payload_digest"] == sha and got["<2>"]["payload_digest"] == "md5:abc"
+    assert [r[0] for r in warc._parse(b"".join(records))] == [f"<{n}>" for n in range(5)]
+    assert list(warc._parse(gzip.compress(b""))) == []
+    with pytest.raises(EOFError):
+        list(warc._parse(gzip.compress(records[1])[:-12]))
+    with pytest.raises(ValueError, match="no record begins"):
+        list(warc._parse(b"text" + records[0]))

@@ -37,6 +37,21 @@ TOPK = """
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+#: A base32 digit for each five bits of the SHA-1, which is read from its hex digits five at a time.
+WARC = """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS k FROM pages
+    ), d AS (
+        SELECT page_id, k, strlen(html) AS n, list_transform(range(8), lambda g: ('0x' || substr(sha1(html), g * 5 + 1, 5))::BIGINT) AS v,
+            first_value(k) OVER w AS first_k, first_value(page_id) OVER w AS first_page
+        FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST, k)
+    )
+    SELECT page_id, n::BIGINT AS payload_bytes,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+        CASE WHEN k = first_k THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k <> first_k THEN first_page END AS refers_to
+    FROM d
+"""
+
 CONVERSATIONS = f"""
     WITH RECURSIVE {_CRC_TABLE}, keyed AS (
         SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
@@ -146,4 +161,4 @@ MERKLE = f"""
     FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN (SELECT digest FROM tops WHERE n = 1) t ON true LEFT JOIN proofs o USING (k) JOIN ends e USING (k)
 """
 
-ORACLES = {"op5_topk": TOPK, "op11_conversations": CONVERSATIONS, "op12_winnow": WINNOW, "op13_merkle": MERKLE}
+ORACLES = {"op5_topk": TOPK, "op7_warc": WARC, "op11_conversations": CONVERSATIONS, "op12_winnow": WINNOW, "op13_merkle": MERKLE}

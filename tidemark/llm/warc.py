@@ -7,9 +7,11 @@ revisit) record in WARC-Concurrent-To. captures() joins them through it and emit
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,31 +90,57 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date
      .option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
 
 
+def _head(stream: BinaryIO) -> dict[str, str] | None:
+    """The next record's fields by lower-case name (None: no record follows); a line that begins with white space continues the one before."""
+    line = stream.readline()
+    while line in (b"\r\n", b"\n"):
+        line = stream.readline()
+    if not line:
+        return None
+    if not line.startswith(b"WARC/"):
+        raise ValueError(f"no record begins with {line[:40]!r}")
+    fields, name = {}, ""
+    while (line := stream.readline()).strip():
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[0] in " \t" and name:
+            fields[name] += " " + text.strip()
+        else:
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields
+
+
 def _parse(data: bytes) -> Iterator[tuple]:
-    """Records of one archive, in order; block lengths come from Content-Length alone."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in data[at:end].decode().split(_CRLF)[1:])
-        start, length = end + 4, int(head["Content-Length"])
-        block, at = data[start : start + length], start + length + 4
-        if len(block) != length:
-            raise ValueError(f"archive ends within record {head['WARC-Record-ID']}")
+    """Records of one archive, in order, plain or of any number of gzip members; block lengths come from Content-Length alone."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while (head := _head(stream)) is not None:
+        record, kind = head.get("warc-record-id"), head.get("warc-type")
+        length = int(head["content-length"])
+        block = stream.read(length)
+        if len(block) != length or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"archive ends within record {record}")
         first, payload = block, None
-        if head["Content-Type"].startswith("application/http"):
+        if head.get("content-type", "").lower().startswith("application/http"):
             first, _, payload = block.partition(b"\r\n\r\n")
-        digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
-        if head["WARC-Type"] == "response" and digest != (found := base64.b32encode(hashlib.sha1(payload).digest()).decode()):
-            raise ValueError(f"payload of {head['WARC-Record-ID']} has SHA-1 {found}, not {digest}")
+        elif kind in ("response", "resource"):
+            first, payload = b"", block
+        digest = head.get("warc-payload-digest") or None
+        if digest and digest.lower().startswith("sha1:"):
+            digest = digest[5:]
+            if kind == "response" and digest != (found := base64.b32encode(hashlib.sha1(payload).digest()).decode()):
+                raise ValueError(f"payload of {record} has SHA-1 {found}, not {digest}")
         yield (
-            head["WARC-Record-ID"], head["WARC-Type"], head.get("WARC-Target-URI"), head.get("WARC-Date"), head.get("WARC-Concurrent-To"),
-            head.get("WARC-Refers-To"), digest, first.decode(), payload, None if payload is None else len(payload),
+            record, kind, head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-concurrent-to"),
+            head.get("warc-refers-to"), digest, first.decode("utf-8", "replace"), payload, None if payload is None else len(payload),
         )
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives (plain or gzip) in a folder. Digests of responses are checked on the way.
+    """The records of all archives in a folder, plain or gzip (of one member, or of one for each record). SHA-1 digests of responses are checked on the way.
 
+    Field names are taken in any case. A task holds one archive as it is stored and one record of it inflated, however
+    long; records that break off, or that lack a length, are errors. An empty archive has no records.
     payloads=False leaves the payload column null, for uses that need sizes and digests alone.
     """
     names = [c.split()[0] for c in RECORDS.split(", ")]
@@ -121,7 +149,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
         for batch in batches:
             for content in batch["content"]:
                 rows, size = [], 0
-                for r in _parse(zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else bytes(content)):
+                for r in _parse(bytes(content)):
                     rows.append(r if payloads else (*r[:8], None, r[9]))
                     size += r[9] or 0
                     if size > 8e6 or len(rows) >= 10_000:
