@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from typing import Any
 from urllib.parse import quote
 
 from pyspark import inheritable_thread_target
@@ -57,6 +59,39 @@ def fill_report(df: DataFrame, target: str, qc: str | None = None, accepted: Seq
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()])
 
 
+@dataclass(frozen=True)
+class Filled:
+    """A filled frame with its accounting: the frame is lazy, the counts come from one pass over it when they are asked for."""
+
+    frame: DataFrame
+    target: str
+    method: str
+    config: Any
+    qc: str | None = None
+    refill_pre_filled: bool = False
+
+    @property
+    def columns(self) -> dict[str, str]:
+        """The six columns that the fill added, by what they hold."""
+        return {c.removeprefix(f"{self.target}_"): c for c in fill_columns(self.target)}
+
+    def column(self, what: str) -> DataFrame:
+        """site_id, ts and one of original, filled, is_observed, is_filled, fill_method, model_version."""
+        if what not in self.columns:
+            raise FillError(f"a fill has no column {what!r}; it has {', '.join(self.columns)}")
+        return self.frame.select("site_id", "ts", F.col(self.columns[what]).alias(what))
+
+    def report(self, by_site: bool = False) -> DataFrame:
+        return fill_report(self.frame, self.target, self.qc, self.config.observed_qc, self.refill_pre_filled, keys=("site_id",) if by_site else ())
+
+    def axis(self) -> DataFrame:
+        """site_id, start, end and rows of each site of the frame."""
+        return self.frame.groupBy("site_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+
+    def to_dict(self) -> dict:
+        return {"target": self.target, "method": self.method, "columns": list(self.columns.values()), "fill": self.report().first().asDict(), "config": self.config.to_dict()}
+
+
 class GapFiller:
     """Fit on the observed rows of sites, then fill these or later slices with the origin of the fit."""
 
@@ -105,6 +140,10 @@ class GapFiller:
         out = with_provenance(joined, self.target, "_prediction", c.method, c.digest()[:12], self.qc, c.observed_qc, refill_pre_filled)
         return out.drop("_prediction")
 
+    def result(self, df: DataFrame, refill_pre_filled: bool = False, **options) -> Filled:
+        """fill() with its accounting; options are those of fill()."""
+        return Filled(self.fill(df, refill_pre_filled, **options), self.target, self.config.method, self.config, self.qc, refill_pre_filled)
+
     def metrics(self, refill_pre_filled: bool = False) -> dict[str, Column]:
         """What to observe of a filled frame while it is written: candidates, fills and the other states of rows."""
         t = self.target

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, GapError, GapWarning
+from ..functions import spellings
 from ..functions.expressions import half_up, ratio
 from ..functions.lineage import cut
 from . import masks
@@ -40,6 +41,8 @@ class GapScenario:
     mix_tolerance: float = 0.05
 
     def __post_init__(self):
+        for name in ("mix", "durations"):  # classes may be spelled by their durations
+            object.__setattr__(self, name, {spellings.coerce(k, CLASSES, "gap class", spellings.GAP_CLASS_SPELLINGS): v for k, v in getattr(self, name).items()})
         if not 0 < self.missing_fraction < 1:
             raise ConfigError(f"missing_fraction must be between 0 and 1, got {self.missing_fraction}")
         if self.basis not in ("missing_records", "gap_events"):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import clean, col, midnight
 
+# The codes of radiation and season in the historical features.
+RADIATION_CODES = {"unclassified": 0, "weak": 1, "medium": 2, "strong": 3}
+SEASON_CODES = {"winter": 1, "spring": 2, "summer": 3, "autumn": 4}
 LEGACY_STATISTICS = ("max", "min", "mean", "std", "p25", "p50", "p75")
 
 

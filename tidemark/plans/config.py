@@ -11,6 +11,9 @@ from datetime import timedelta
 from typing import Any
 
 from ..errors import ConfigError
+from ..functions import spellings
+from ..operators import features as feature_ops
+from ..operators import legacy
 from ..operators.features import STRATEGIES
 from ..operators.gaps import GapScenario
 from ..operators.timeaxis import iso_duration, to_duration
@@ -89,8 +92,9 @@ class RunConfig:
     gaps: GapScenario = field(default_factory=GapScenario)
 
     def __post_init__(self):
-        if self.mode not in MODES:
-            raise ConfigError(f"unknown mode {self.mode!r}; known are {', '.join(MODES)}")
+        object.__setattr__(self, "mode", spellings.coerce(self.mode, tuple(MODES), "mode"))
+        if self.hemisphere is not None:
+            object.__setattr__(self, "hemisphere", spellings.coerce(self.hemisphere, ("north", "south"), "hemisphere", spellings.HEMISPHERE_SPELLINGS))
         if unknown := [c for c in self.columns if c not in DRIVERS]:
             raise ConfigError(f"unknown drivers {', '.join(unknown)}")
         if len(set(self.columns.values())) < len(self.columns):
@@ -99,8 +103,6 @@ class RunConfig:
             raise ConfigError("seed must be a whole number")
         if self.latitude is not None and not -90 <= self.latitude <= 90:
             raise ConfigError(f"latitude {self.latitude} is out of range")
-        if self.hemisphere not in (None, "north", "south"):
-            raise ConfigError(f"unknown hemisphere {self.hemisphere!r}; known are north, south")
         if self.cv not in ("kfold", "time_series_split"):
             raise ConfigError(f"unknown cross-validation {self.cv!r}")
         if self.cv_folds < 2:
@@ -128,6 +130,24 @@ class RunConfig:
         """The same run without the limiter."""
         return dataclasses.replace(self, features=dataclasses.replace(self.features, use_limiter=False))
 
+    def feature_description(self, target: str) -> dict[str, Any]:
+        """The features of a run, in order, with every choice and code that made them."""
+        f, old = self.features, self.features.mode == "legacy"
+        out = {"mode": f.mode, "limiter": f.use_limiter, "drivers": list(self.drivers), "target": target}
+        if old:
+            return out | {
+                "names": legacy.legacy_feature_names(target), "hemisphere": self.side, "statistics": list(legacy.LEGACY_STATISTICS), "daily_std_ddof": 1, "sees_withheld_truth": True,
+                "radiation_codes": legacy.RADIATION_CODES, "season_codes": legacy.SEASON_CODES,
+            }
+        out["names"] = feature_ops.feature_names(list(self.drivers), target, f.use_limiter)
+        if f.use_limiter:
+            codes = lambda order: {name: code for code, name in enumerate(order)}
+            out |= {
+                "hemisphere": self.side, "hemisphere_from": "setting" if self.hemisphere else "latitude", "radiation_thresholds": list(f.radiation_thresholds),
+                "boundary_convention": f.boundary_convention, "radiation_codes": codes(feature_ops.RADIATION), "season_codes": codes(feature_ops.SEASONS), **f.daily(),
+            }
+        return out
+
     def to_dict(self) -> dict[str, Any]:
         return _plain(dataclasses.asdict(self))
 

@@ -62,7 +62,7 @@ class Validation:
         plain = lambda df: [{k: str(v) if isinstance(v, datetime) else v for k, v in r.asDict().items()} for r in df.collect()]  # noqa: E731  a row a site and gap or cell
         return {
             "format": accounting.MANIFEST_FORMAT, "kind": "validation", "target": self.target, "method": self.config.method, "seed": self.config.seed, "config": flat, "digest": self.config.digest(),
-            "choices": choices_of(self.config), "versions": accounting.versions(), "axis": self.axis, "features": self.names,
+            "choices": choices_of(self.config), "versions": accounting.versions(), "axis": self.axis, "features": self.names, "feature_description": self.config.feature_description(self.target),
             "fit": self.forest.report, "best": self.forest.best, "score": self.forest.score, "notes": [*self.forest.notes, *self.notes], "rows": self.rows.to_dict(),
             "gaps": {"scenario": gaps.describe(self.config.gaps), "intervals": plain(self.gaps)}, "metrics": plain(self.scores.where("gap_class = 'all'")),
         }

@@ -70,27 +70,83 @@ def read_stamped_csv(spark: SparkSession, path: str, schema: str, site: str, sta
 
 @dataclass(frozen=True)
 class Availability:
-    """Which drivers, fluxes and flags a header has."""
+    """Which drivers, fluxes and flags a header has, and under which names those that it lacks were looked for."""
 
     columns: Mapping[str, str]
     missing: tuple[str, ...]
     fluxes: Mapping[str, str]
     flags: Mapping[str, str]
+    stamp: str | None = None
+
+    @property
+    def missing_fluxes(self) -> dict[str, str]:
+        return {t: usual for t, usual in FLUX_NAMES.items() if t not in self.fluxes}
+
+    @property
+    def missing_flags(self) -> dict[str, str]:
+        return {t: f"{self.fluxes.get(t, usual)}_QC" for t, usual in FLUX_NAMES.items() if t not in self.flags}
+
+    def lacks(self, mode: str) -> tuple[str, ...]:
+        """Drivers that a mode needs and the header has not."""
+        return tuple(d for d in MODES[mode] if d not in self.columns)
 
     def supports(self, mode: str) -> bool:
-        return all(d in self.columns for d in MODES[mode])
+        return not self.lacks(mode)
 
     def best_mode(self) -> str | None:
         return next((m for m in ("RFR10", "RFR3") if self.supports(m)), None)
 
-    def require(self, mode: str) -> Mapping[str, str]:
-        if lost := [d for d in MODES[mode] if d not in self.columns]:
+    def column_map(self, mode: str | None = None, overrides: Mapping[str, str] | None = None) -> dict[str, str]:
+        """Driver to column for a mode (the best one, if none is named)."""
+        mode = mode or self.best_mode() or "RFR3"
+        if lost := self.lacks(mode):
+            raise SourceError(f"{mode} needs {', '.join(f'{d} ({STATION_NAMES[d]})' for d in lost)}")
+        return {d: self.columns[d] for d in MODES[mode]} | dict(overrides or {})
+
+    def target_columns(self, fluxes: Sequence[str] | None = None) -> tuple[str, ...]:
+        """Columns of the fluxes, for validate(targets=...)."""
+        wanted = tuple(self.fluxes if fluxes is None else fluxes)
+        if lost := [t for t in wanted if t not in self.fluxes]:
+            raise SourceError(f"there is no flux {', '.join(lost)}; there are {', '.join(self.fluxes) or 'none'}")
+        return tuple(self.fluxes[t] for t in wanted)
+
+    def flag_columns(self, fluxes: Sequence[str] | None = None) -> dict[str, str]:
+        """Flux column to flag column, for validate(qc=...); a flux without flags is left out, and so counts as observed wherever it has a value."""
+        names = tuple(self.fluxes if fluxes is None else fluxes)
+        return {c: self.flags[t] for t, c in zip(names, self.target_columns(names)) if t in self.flags}
+
+    def heat_targets(self) -> tuple[str, str] | None:
+        """The columns of H and LE, for validate(energy_pair=...)."""
+        return (self.fluxes["H"], self.fluxes["LE"]) if {"H", "LE"} <= set(self.fluxes) else None
+
+    def require(self, mode: str, fluxes: Sequence[str] = (), need_flags: bool = True) -> Mapping[str, str]:
+        """The column map of a mode, if that and these fluxes can be run; else all that is lacking at once.
+
+        need_flags: a flux without its flags is lacking too, for values filled by others would pass as measured.
+        """
+        lost = [f"driver {d} ({STATION_NAMES[d]})" for d in self.lacks(mode)]
+        lost += [f"flux {t} ({FLUX_NAMES.get(t, t)})" for t in fluxes if t not in self.fluxes]
+        lost += [f"flags of {t} ({self.fluxes[t]}_QC)" for t in fluxes if need_flags and t in self.fluxes and t not in self.flags]
+        if lost:
             raise SourceError(f"{mode} needs {', '.join(lost)}")
         return {d: self.columns[d] for d in MODES[mode]}
 
+    def to_dict(self) -> dict:
+        return {
+            "drivers": dict(self.columns), "missing_drivers": {d: STATION_NAMES[d] for d in self.missing}, "fluxes": dict(self.fluxes), "missing_fluxes": self.missing_fluxes,
+            "flags": dict(self.flags), "missing_flags": self.missing_flags, "stamp": self.stamp, "best_mode": self.best_mode(),
+        }
+
+    def summary(self) -> str:
+        """What there is and what is lacking, in lines."""
+        named = lambda m: ", ".join(f"{a} ({b})" for a, b in m.items()) or "none"
+        found = self.to_dict()
+        lines = [f"{len(self.columns)} of {len(DRIVERS)} drivers, best mode {self.best_mode() or 'none'}"]
+        return "\n".join(lines + [f"{k.replace('_', ' ')}: {named(found[k])}" for k in ("drivers", "missing_drivers", "fluxes", "missing_fluxes", "flags", "missing_flags")])
+
 
 def inspect(header: Sequence[str], overrides: Mapping[str, str] | None = None) -> Availability:
-    """Find drivers, fluxes and flags in a header; of depth-indexed columns X_1 .. X_10 the shallowest counts."""
+    """Find drivers, fluxes, flags and the stamp in a header; of depth-indexed columns X_1 .. X_10 the shallowest counts."""
     have, overrides = set(header), dict(overrides or {})
     if lost := [c for c in overrides.values() if c not in have]:
         raise SourceError(f"there are no columns {', '.join(lost)}")
@@ -105,7 +161,35 @@ def inspect(header: Sequence[str], overrides: Mapping[str, str] | None = None) -
     columns = {d: c for d in DRIVERS if (c := find(d, STATION_NAMES[d]))}
     fluxes = {t: c for t, usual in FLUX_NAMES.items() if (c := overrides.get(t) or (usual if usual in have else t if t in have else None))}
     flags = {t: f"{c}_QC" for t, c in fluxes.items() if f"{c}_QC" in have}
-    return Availability(columns, tuple(d for d in DRIVERS if d not in columns), fluxes, flags)
+    stamp = next((c for c in ("TIMESTAMP_START", "TIMESTAMP_END", "TIMESTAMP") if c in have), None)
+    return Availability(columns, tuple(d for d in DRIVERS if d not in columns), fluxes, flags, stamp)
+
+
+def site_availability(df: DataFrame, columns: Mapping[str, str], least: int = 1) -> DataFrame:
+    """What each site's own rows carry, in one scan: a header that all sites share says nothing of a site without values.
+
+    columns: driver to column. site_id, n_rows, n_drivers (with at least `least` finite values), missing_drivers (in the
+    order of DRIVERS, comma-joined), rows_RFR3 and rows_RFR10 (rows complete in the mode), best_mode (the widest mode all of
+    whose drivers the site has; null if none).
+    """
+    if unknown := [d for d in columns if d not in DRIVERS]:
+        raise SourceError(f"unknown drivers {', '.join(unknown)}")
+    count = lambda d: F.count_if(finite(columns[d])) if d in columns else F.lit(0).cast("long")
+
+    def complete(mode: str) -> Column:
+        if any(d not in columns for d in MODES[mode]):
+            return F.lit(0).cast("long")
+        every = F.lit(True)
+        for d in MODES[mode]:
+            every = every & finite(columns[d])
+        return F.count_if(every)
+
+    counted = df.groupBy("site_id").agg(F.count("*").alias("n_rows"), *[count(d).alias(f"_{d}") for d in DRIVERS], *[complete(m).alias(f"rows_{m}") for m in MODES])
+    lost = F.filter(F.array(*[F.when(F.col(f"_{d}") < least, F.lit(d)) for d in DRIVERS]), lambda d: d.isNotNull())
+    best = F.lit(None).cast("string")
+    for mode in ("RFR3", "RFR10"):  # the wider one has the last word
+        best = F.when(~F.arrays_overlap(lost, F.array(*map(F.lit, MODES[mode]))), mode).otherwise(best)
+    return counted.select("site_id", "n_rows", (len(DRIVERS) - F.size(lost)).cast("long").alias("n_drivers"), F.array_join(lost, ",").alias("missing_drivers"), *[f"rows_{m}" for m in MODES], best.alias("best_mode"))
 
 
 def select_columns(df: DataFrame, columns: Mapping[str, str], keep: Sequence[str] = ("site_id", "ts")) -> DataFrame:
@@ -132,21 +216,30 @@ def flag_counts(df: DataFrame, qc: str, keys: Sequence[str] = ("site_id",)) -> D
     return df.where(F.col(qc).isNotNull()).groupBy(*keys, F.col(qc).cast("int").alias("flag")).agg(F.count("*").alias("n"))
 
 
-def docx_tables(spark: SparkSession, path: str) -> DataFrame:
-    """file, table_no, row_no, cells of the tables of Word documents; one row per table row."""
+def docx_documents(spark: SparkSession, path: str) -> DataFrame:
+    """file, text, tables (of rows of cells) of Word documents; paragraphs of a cell are set apart by a blank."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
-    @F.udf("array<struct<table_no:int,row_no:int,cells:array<string>>>")
-    def tables(content):
-        with zipfile.ZipFile(BytesIO(content)) as z:
-            root = ElementTree.fromstring(z.read("word/document.xml"))
-        out = []
-        for t, table in enumerate(root.iter(f"{w}tbl")):
-            for r, row in enumerate(table.iter(f"{w}tr")):
-                out.append((t, r, ["".join(x.text or "" for x in cell.iter(f"{w}t")).strip() for cell in row.iter(f"{w}tc")]))
-        return out
-
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.explode(tables("content")).alias("t")).select("file", "t.*")
+    @F.udf("struct<text:string,tables:array<array<array<string>>>>")
+    def parse(content):
+        try:
+            with zipfile.ZipFile(BytesIO(content)) as z:
+                root = ElementTree.fromstring(z.read("word/document.xml"))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            return None
+        words = lambda parts: " ".join(" ".join(parts).split())
+        cell = lambda c: words("".join(t.text or "" for t in p.iter(f"{w}t")) for p in c.iter(f"{w}p"))
+        return words(["".join(root.itertext())]), [[[cell(c) for c in row.findall(f"{w}tc")] for row in table.findall(f"{w}tr")] for table in root.iter(f"{w}tbl")]
+
+    read = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), parse("content").alias("d"))
+    whole = F.when(F.col("d").isNull(), F.raise_error(F.concat("file", F.lit(" is not a Word document")))).otherwise(F.col("d"))
+    return read.select("file", whole.alias("d")).select("file", "d.*")
+
+
+def docx_tables(spark: SparkSession, path: str) -> DataFrame:
+    """file, table_no, row_no, cells of the tables of Word documents; one row per table row."""
+    tables = docx_documents(spark, path).select("file", F.posexplode("tables").alias("table_no", "rows"))
+    return tables.select("file", "table_no", F.posexplode("rows").alias("row_no", "cells"))
 
 
 def site_scores(rows: DataFrame, methods: Sequence[str], metrics: Sequence[str] = ("r2", "slope", "rmse", "bias")) -> DataFrame:
