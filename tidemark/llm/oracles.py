@@ -161,4 +161,131 @@ MERKLE = f"""
     FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN (SELECT digest FROM tops WHERE n = 1) t ON true LEFT JOIN proofs o USING (k) JOIN ends e USING (k)
 """
 
-ORACLES = {"op5_topk": TOPK, "op7_warc": WARC, "op11_conversations": CONVERSATIONS, "op12_winnow": WINNOW, "op13_merkle": MERKLE}
+#: Every string of 400 bytes, from texts cut into overlapping pieces of hex digits; runs of found ones by gaps between starts.
+REPEATS = """
+    WITH d AS (
+        SELECT row_number() OVER () AS k, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS bytes,
+            regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents
+    ), pieces AS (
+        SELECT k, c, n, substr(bytes, 2 * c + 1, 2 * (1024 + 399)) AS piece FROM d, LATERAL (SELECT unnest(range(0, greatest(n - 399, 0), 1024)) AS c)
+    ), strings AS (
+        SELECT k, c + i AS start, md5_number(substr(piece, 2 * i + 1, 800)) AS id FROM pieces, LATERAL (SELECT unnest(range(least(1024, n - 399 - c))) AS i)
+    ), found AS (
+        SELECT k, start, start > lag(start) OVER (PARTITION BY k ORDER BY start) + 400 AS apart
+        FROM strings WHERE id IN (SELECT id FROM strings GROUP BY id HAVING count(*) > 1)
+    ), runs AS (
+        SELECT k, start, count(*) FILTER (WHERE apart) OVER (PARTITION BY k ORDER BY start) AS run FROM found
+    ), spans AS (
+        SELECT k, min(start) AS s, max(start) + 400 AS e FROM runs GROUP BY k, run
+    ), gaps AS (
+        SELECT k, s, e, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS since FROM spans
+    ), cut AS (
+        SELECT k, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(bytes, 2 * since + 1, 2 * (s - since)), '' ORDER BY s) || substr(any_value(bytes), 2 * max(e) + 1) AS kept
+        FROM gaps JOIN d USING (k) GROUP BY k
+    ), passages AS (
+        SELECT DISTINCT k, md5_number(array_to_string(w[i : i + 49], ' ')) AS id FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i)
+    ), sharing AS (
+        SELECT DISTINCT k FROM passages WHERE id IN (SELECT id FROM passages GROUP BY id HAVING count(*) > 1)
+    )
+    SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+        sha256(unhex(coalesce(kept, bytes))) AS kept_sha256, CASE WHEN s.k IS NULL THEN 0 ELSE 1 END AS shares_passage
+    FROM d LEFT JOIN cut USING (k) LEFT JOIN sharing s USING (k)
+"""
+
+# Matches are set between marks, and the marks give their places. A mark that the text holds is put out by another character first.
+_MARK, _OTHER = "chr(57344)", "chr(57345)"
+# \s of Unicode
+_BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _either_case(words: str) -> str:
+    """The pattern with each ASCII letter in either case; folding by the engine would let other letters in."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+_SECRET_ASSIGN = "(" + _either_case("password|passwd|secret|token|api_?key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRET_CLIENT = "(" + _either_case("client_?id|access_?key_?id|account|user(name)?") + r""")["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{4,}"""
+_SECRET_ENDPOINT = r"""[a-z][a-z0-9+]{1,15}://[^""" + _BLANK + r""""''<>|]{3,}"""
+
+
+def _matches(pattern: str, kind: int) -> str:
+    return f"SELECT k, {kind} AS kind, string_split(regexp_replace(text, '({pattern})', {_MARK} || '\\1' || {_MARK}, 'g'), {_MARK}) AS cuts FROM d"
+
+
+SECRETS = f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS k, doc_id, replace(coalesce(text, ''), {_MARK}, {_OTHER}) AS text FROM documents
+    ), cuts AS (
+        {_matches(_SECRET_ASSIGN, 0)} UNION ALL {_matches("AKIA[A-Z0-9]+", 1)} UNION ALL {_matches("[0-9a-f]+", 2)}
+        UNION ALL {_matches(_SECRET_CLIENT, 3)} UNION ALL {_matches("[A-Za-z0-9+/_=-]+", 4)} UNION ALL {_matches(_SECRET_ENDPOINT, 5)}
+    ), parts AS (
+        SELECT k, kind, i, part, sum(length(part)) OVER (PARTITION BY k, kind ORDER BY i)::BIGINT AS e FROM (SELECT k, kind, unnest(cuts) AS part, generate_subscripts(cuts, 1) AS i FROM cuts)
+    ), matches AS (
+        SELECT k, kind, e - length(part) AS s, e FROM parts
+        WHERE i % 2 = 0 AND CASE kind
+            WHEN 0 THEN length(regexp_extract(part, '{_SECRET_ASSIGN}', 2)) >= 8
+            WHEN 1 THEN length(part) >= 16
+            WHEN 2 THEN length(part) >= 32
+            WHEN 4 THEN regexp_full_match(part, '[A-Za-z0-9+/]{{20,}}={{0,2}}') AND regexp_matches(part, '[0-9]') AND regexp_matches(part, '[A-Z]') AND regexp_matches(part, '[a-z]')
+            ELSE true END
+    ), weak AS (
+        SELECT * FROM matches w WHERE kind >= 3 AND NOT EXISTS (FROM matches b WHERE b.k = w.k AND b.kind < 3 AND b.s < w.e AND w.s < b.e)
+    ), near AS (
+        SELECT w.k, w.kind, w.s, w.e, bool_or(o.kind IN (0, 2, 4)) AS secret, bool_or(o.kind IN (1, 3)) AS identifier
+        FROM weak w JOIN (FROM matches WHERE kind < 3 UNION ALL FROM weak) o ON o.k = w.k AND o.s - w.e <= 256 AND w.s - o.e <= 256 GROUP BY w.k, w.kind, w.s, w.e
+    ), shown AS (
+        SELECT k, kind, s, e FROM matches WHERE kind < 3
+        UNION ALL SELECT k, kind, s, e FROM near WHERE CASE kind WHEN 3 THEN secret WHEN 4 THEN identifier ELSE secret AND identifier END
+    ), named AS (
+        SELECT *, (['assign', 'access', 'hex', 'client', 'material', 'endpoint'])[kind + 1] || ':' || s || ':' || e AS span FROM shown
+    ), sums AS (
+        SELECT k, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE kind >= 3) AS n_linked,
+            string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans
+        FROM named GROUP BY k
+    )
+    SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0)::BIGINT AS n_linked
+    FROM d LEFT JOIN sums USING (k)
+"""
+
+#: The water level is the first, by sources in order of what fills them, that the next source is not filled by.
+#: Positions solve the quadratic demand of each schedule: falling from 1.5 to 0.5, rising from 0.5 to 1.5, and up and down again.
+MIXING = """
+    WITH d AS (
+        SELECT row_number() OVER () AS k, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+            coalesce(md5(doc_id::VARCHAR), md5('text ' || coalesce(text, ''))) AS key
+        FROM documents
+    ), sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM d GROUP BY source
+    ), weighed AS (
+        SELECT *, ([5.0, 2.0, 1.0])[(source_no % 3 + 1)::INTEGER]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM sources
+    ), filled AS (
+        SELECT *, total - (sum(cap) OVER o - cap) AS rest, sum(weight) OVER () - (sum(weight) OVER o - weight) AS open FROM weighed
+        WINDOW o AS (ORDER BY cap / weight, source_no ROWS UNBOUNDED PRECEDING)
+    ), levels AS (
+        SELECT arg_min(rest / open, fills) AS level FROM (SELECT rest, open, cap / weight AS fills FROM filled) WHERE rest / open <= fills
+    ), targets AS (
+        SELECT source, source_size, source_no, least(cap, level * weight) AS target FROM weighed, levels
+    ), placed AS (
+        SELECT d.*, t.source_size, t.source_no, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size, k ROWS UNBOUNDED PRECEDING)::BIGINT - size / 2.0::DOUBLE AS middle,
+            CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS whole
+        FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+    ), copied AS (
+        SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN middle <= target - whole * source_size THEN 1 ELSE 0 END ELSE 0 END AS copies FROM placed
+    ), timed AS (
+        SELECT *, list_transform(range(copies), lambda j: (middle + j * source_size) / target) AS due FROM copied
+    )
+    SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::INTEGER AS copies,
+        list_transform(due, lambda x: CASE
+            WHEN x >= 1 THEN 1::DOUBLE
+            WHEN source_no % 3 = 0 THEN least(1.5 - sqrt(greatest(2.25 - 2 * x, 0)), 1::DOUBLE)
+            WHEN source_no % 3 = 1 THEN least(sqrt(0.25 + 2 * x) - 0.5, 1::DOUBLE)
+            WHEN x < 0.5 THEN least((sqrt(0.25 + 4 * x) - 0.5) / 2, 0.5::DOUBLE)
+            ELSE least(0.5 + (1.5 - sqrt(greatest(2.25 - 4 * (x - 0.5), 0))) / 2, 1::DOUBLE) END) AS positions
+    FROM timed
+"""
+
+ORACLES = {
+    "op2_repeats": REPEATS, "op5_topk": TOPK, "op6_secrets": SECRETS, "op7_warc": WARC, "op10_mixing": MIXING, "op11_conversations": CONVERSATIONS, "op12_winnow": WINNOW, "op13_merkle": MERKLE,
+}
