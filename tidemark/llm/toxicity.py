@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WindowHash, text_or_empty, write_shared
@@ -88,12 +88,14 @@ def fit_linear(texts: Sequence[str], labels: np.ndarray, ratio: np.ndarray, gram
     return np.append(w * ratio, b)
 
 
-def fit(labelled: DataFrame, grams: Sequence[int] = GRAMS, bits: int = BITS, sample_rows: int = 1500, smooth: float = 1.0) -> np.ndarray | None:
-    """Feature weights with the bias last, from text and label (0/1); None if a label has no rows.
+def fit(labelled: DataFrame, grams: Sequence[int] = GRAMS, bits: int = BITS, sample_rows: int = 1500, sample_bytes: int = 8 << 20, smooth: float = 1.0) -> np.ndarray | None:
+    """Feature weights with the bias last, from text and label (0/1); None if a label has no rows to fit on.
 
-    The counts behind the log-count ratios cover all rows. The linear part is fitted on sample_rows different texts of
-    each label, those with the smallest hashes: a bounded sample of whole texts, fitted in one task. Copies count once
-    there, so no group of them fills the sample, and hashes are chosen before any text moves.
+    The counts behind the log-count ratios cover all rows. The linear part is fitted on a bounded sample of whole
+    texts, in one task: of each label the different texts with the smallest hashes, sample_rows and sample_bytes at
+    most, none longer than a sixteenth of sample_bytes. Copies count once there, so no group of them fills the sample,
+    and hashes and lengths are chosen by before any text moves. A label whose texts are all longer than that leaves no
+    sample, and there is no model, as without rows of it.
     """
     labelled = labelled.select(text_or_empty().alias("text"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
     labelled = write_shared(labelled, "toxicity-train")
@@ -102,18 +104,21 @@ def fit(labelled: DataFrame, grams: Sequence[int] = GRAMS, bits: int = BITS, sam
         return None
     ratio = _log_odds(count_features(labelled, grams, bits), (n[0], n[1]), smooth, bits)
     hashed = labelled.withColumn("text_hash", F.xxhash64("text"))
-    keys = hashed.select("label", "text_hash").distinct()
+    keys = hashed.groupBy("label", "text_hash").agg(F.max(F.octet_length("text")).cast("long").alias("bytes")).where(F.col("bytes") <= sample_bytes // 16)
     picked = [keys.where(F.col("label") == k).orderBy("text_hash").limit(sample_rows) for k in (0, 1)]
-    picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample_rows hashes at most
+    upto = F.sum("bytes").over(Window.partitionBy("label").orderBy("text_hash"))  # over 2 * sample_rows hashes at most
+    picked = F.broadcast(picked[0].unionByName(picked[1]).withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("label", "text_hash"))
     sample = hashed.join(picked, ["label", "text_hash"]).groupBy("label", "text_hash").agg(F.min("text").alias("text"))
 
     def train(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["label", "text"])
+        if sample["label"].nunique() < 2:
+            return pd.DataFrame({"weights": []})
         w = fit_linear(sample["text"].tolist(), sample["label"].to_numpy(), ratio, grams, bits)
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()]})
 
-    found = sample.select("label", "text", F.lit(0).alias("one")).groupBy("one").applyInPandas(train, "weights binary").first()["weights"]
-    return np.frombuffer(found, "<f4").astype(np.float64)
+    found = sample.select("label", "text", F.lit(0).alias("one")).groupBy("one").applyInPandas(train, "weights binary").first()
+    return np.frombuffer(found["weights"], "<f4").astype(np.float64) if found else None
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, grams: Sequence[int] = GRAMS, bits: int = BITS, columns: Sequence[str | Column] = ("doc_id",)) -> DataFrame:
@@ -138,8 +143,9 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, broadcast_rows:
     Labels (doc_id, toxic) are learned from rows whose crc32(doc_id as text) mod folds is not 0; the others are held
     out. Nothing but the text enters a score. Null or empty text: a score as well, from the bias. Null labels are not
     learned from; of repeated labels of a document the largest counts. Repeated documents: equal scores. A null doc_id
-    has no label and is not held out. With no label rows of one kind, every score is 0.5. The labels are broadcast to
-    the texts only if they are counted to be few (broadcast_rows); else the join shuffles.
+    has no label and is not held out. With no label rows of one kind, or none short enough to fit on, every score is
+    0.5. Very long texts are scored whole, one at a time. Extra columns do not matter. The labels are broadcast to the
+    texts only if they are counted to be few (broadcast_rows); else the join shuffles.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
