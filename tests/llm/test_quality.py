@@ -150,3 +150,10 @@ def test_batches_change_no_row(spark):
     finally:
         spark.conf.set(name, before)
     assert found[0] == found[1]
+
+
+def test_an_order_is_one_join(spark):
+    """One table an order, so few exchanges at once: the driver holds a broadcast and threads for each."""
+    model = train(spark.createDataFrame([(t,) for t in prose(4, 30)], "text string"), 4)
+    plan = probabilities(spark.range(5).selectExpr("id + 97 gram"), model)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(model) == 4 and plan.count("Join ") == 4

@@ -60,13 +60,17 @@ def hot_edge(total: int) -> int:
     return max(HOT_ROWS, int(total * HOT_SHARE))
 
 
-def join_spread(left: DataFrame, right: DataFrame, on: Sequence[str], load: str, total: int, how: str = "inner") -> DataFrame:
+def join_spread(left: DataFrame, right: DataFrame, on: Sequence[str], load: str, total: int, how: str = "inner", most: int | None = None) -> DataFrame:
     """left joined (inner or left_semi) with right, which has one row a key and the number of left's rows with it in load.
 
     total: the rows of left. Rows of hot keys stay where they are and meet their keys by broadcast, whose number is
     bounded (hot_edge); the rest shuffles. No task reads a whole hot key. left is read twice, so let it be a written table.
+    most: no load is larger, where that is known. Where it says that no key is hot, the join is a plain one: the joins
+    with no hot keys would be empty, but each costs the driver two broadcasts and their threads.
     """
     on, edge = list(on), hot_edge(total)
+    if (total if most is None else most) <= edge:
+        return left.join(right, on, how)
     hot, cold = right.where(F.col(load) > edge), right.where(F.col(load) <= edge)
     met = left.join(F.broadcast(hot), on, how)
     return met.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))

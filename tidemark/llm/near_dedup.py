@@ -179,12 +179,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = least.select(F.col("m").alias("a"), "b").unionByName(tied)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = write_shared(both, "near-edges")
-    total = both.count()
     degree = write_shared(both.groupBy("b").agg(F.count("*").alias("_n")), "near-degrees")
+    total, most = _loads(degree, "_n")
     labels = write_shared(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("comp")), "near-labels")
     while True:
         held = degree.join(labels.withColumnRenamed("node", "b"), "b")
-        around = join_spread(both, held, ["b"], "_n", total).groupBy("a").agg(F.min("comp").alias("near"))
+        around = join_spread(both, held, ["b"], "_n", total, most=most).groupBy("a").agg(F.min("comp").alias("near"))
         new = labels.join(around, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("low"))
         new = write_shared(new, "near-lower")
         up = new.groupBy("low").agg(F.count("*").alias("_n"))
@@ -231,10 +231,10 @@ def classes(
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     shared = write_shared(shared, "near-buckets")
-    members = write_shared(join_spread(spread, shared, ["bucket"], "n", nodes.count() * bands), "near-members")
-    total, largest = members.agg(F.count("*"), F.max("n")).first()
-    if largest is None:
+    total, largest = _loads(shared, "n")
+    if not total:
         return _named(found, nodes, None)
+    members = write_shared(join_spread(spread, shared, ["bucket"], "n", nodes.count() * bands, most=largest), "near-members")
 
     text = text_or_empty()
     whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
@@ -255,7 +255,7 @@ def classes(
         step += 1
         at = members.where("n > 2").join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
         mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("_n")).where("lo <> hi").select("bucket", "_n")
-        rest = write_shared(join_spread(write_shared(at, "near-at"), mixed, ["bucket"], "_n", total).drop("_n"), "near-rest")
+        rest = write_shared(join_spread(write_shared(at, "near-at"), mixed, ["bucket"], "_n", total, most=largest).drop("_n"), "near-rest")
         if weights is None:
             asked = texts.join(rest.select("node").distinct(), "node", "left_semi")
             weights = write_shared(shared_weights(asked, words), "near-weights")
@@ -273,13 +273,13 @@ def classes(
             rare = (F.col("size") - F.col("common")) / F.col("size") + F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2))
             heads = rest.groupBy("bucket").agg(F.min(F.struct(rare.alias("rare"), F.xxhash64("node").alias("draw"), *as_pivot)).alias("h"), F.count("*").alias("_n"))
             heads = heads.select("bucket", "_n", "h.pivot", "h.pivot_comp", "h.pivot_size", "h.pivot_common", "h.pivot_by_kind")
-            met = _some_pivots(join_spread(rest, heads, ["bucket"], "_n", total).where(near).select("pivot", "node"))
+            met = _some_pivots(join_spread(rest, heads, ["bucket"], "_n", total, most=largest).where(near).select("pivot", "node"))
         else:
             width *= growth
             held = rest.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
             main = held.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("_n")).select("bucket", "_n", F.col("most.comp").alias("main"))
             parts = F.ceil(F.col("n") / 4096).cast("int")
-            minor = join_spread(rest, main, ["bucket"], "_n", total).where("comp <> main")
+            minor = join_spread(rest, main, ["bucket"], "_n", total, most=largest).where("comp <> main")
             minor = minor.select("bucket", "node", "comp", "size", "common", "by_kind", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
             place = F.pmod(F.xxhash64("node"), F.lit(1 << 31)) / float(1 << 31) * F.col("n")
             others = rest.where(place < width).select("bucket", F.pmod(F.xxhash64(F.lit(7), "node"), parts).cast("int").alias("part"), *as_pivot)
@@ -294,6 +294,11 @@ def classes(
     return _named(found, nodes, comps)
 
 
+def _loads(keys: DataFrame, load: str) -> tuple[int, int]:
+    """The sum of the loads of all keys and the largest."""
+    return tuple(keys.agg(F.coalesce(F.sum(load), F.lit(0)), F.coalesce(F.max(load), F.lit(0))).first())
+
+
 def _some_pivots(pairs: DataFrame, some: int = 3) -> DataFrame:
     """pivot, node: of each node's pivots some, drawn by hash and each once. The others' turn comes later."""
     drawn = pairs.groupBy("node").agg(F.collect_set("pivot").alias("pivots"))
@@ -308,9 +313,12 @@ def _named(found: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataF
     named = slim.groupBy("comp").agg(
         F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("kept"), F.count("*").alias("_n")
     )
-    of_node = join_spread(slim, write_shared(named, "near-named"), ["comp"], "_n", slim.count()).select("node", "copies", "class_id", "class_size", F.col("kept.node").alias("kept_node"))
+    named = write_shared(named, "near-named")
+    n_nodes, in_class = _loads(named, "_n")
+    n_rows, copies = _loads(slim, "copies")
+    of_node = join_spread(slim, named, ["comp"], "_n", n_nodes, most=in_class).select("node", "copies", "class_id", "class_size", F.col("kept.node").alias("kept_node"))
     rows = found.select("doc_id", "node")
-    return join_spread(rows, write_shared(of_node, "near-classes"), ["node"], "copies", rows.count()).select("doc_id", "node", "class_id", "class_size", "kept_node")
+    return join_spread(rows, write_shared(of_node, "near-classes"), ["node"], "copies", n_rows, most=copies).select("doc_id", "node", "class_id", "class_size", "kept_node")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

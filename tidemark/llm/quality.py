@@ -91,11 +91,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return 0.5, 0.75, 1.0
 
 
-def train(texts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (gram, part) and (context, back).
+def train(texts: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """For each order from 1: context, kept (of each byte that follows it, its count less the discount), total and back.
 
-    The probability of a gram is its part plus back of its context times the probability one order lower; uniform
-    over bytes at order 0. Orders below the highest count the distinct bytes that come before a gram.
+    The probability of a gram is its byte's share of total in kept plus back of its context times the probability one
+    order lower; uniform over bytes at order 0. Orders below the highest count the distinct bytes that come before a
+    gram. A context is one row with at most 256 bytes in it, so that a gram meets its order in one join.
     """
     counts, model = write_shared(count_grams(texts, order), "quality-counts"), []
     for k in range(order, 0, -1):
@@ -104,21 +105,21 @@ def train(texts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFra
         seen = {r["n"]: r["count"] for r in counts.where("n <= 4").groupBy("n").count().collect()}
         d = discounts(*(seen.get(i, 0) for i in (1, 2, 3, 4)))
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        c = counts.select("gram", F.shiftright("gram", 8).alias("context"), "n", cut.alias("cut"))
-        contexts = c.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"))
-        grams = c.join(contexts, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("part"))
-        model.append((grams, contexts.select("context", "back")))
+        c = counts.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n", cut.alias("cut"))
+        kept = F.map_from_entries(F.collect_list(F.struct("byte", F.col("n") - F.col("cut"))))
+        model.append(c.groupBy("context").agg(kept.alias("kept"), F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back")))
     return model[::-1]
 
 
-def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """gram, log_p (natural, in units of 2**-26) of distinct grams of the highest order, by joins with the tables of every order."""
+def probabilities(grams: DataFrame, model: list[DataFrame]) -> DataFrame:
+    """gram, log_p (natural, in units of 2**-26) of distinct grams of the highest order, by a join with each order's contexts."""
     q = grams.withColumn("p", F.lit(1 / 256))
-    for k, (parts, contexts) in enumerate(model, 1):
-        suffix = F.col("gram").bitwiseAND(F.lit(_mask(k)))
-        q = q.withColumn("_gram", suffix).join(parts.withColumnRenamed("gram", "_gram"), "_gram", "left")
-        q = q.withColumn("_context", F.shiftright("_gram", 8)).join(contexts.withColumnRenamed("context", "_context"), "_context", "left")
-        q = q.select("gram", (F.coalesce("part", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
+    for k, contexts in enumerate(model, 1):
+        if k <= 2:  # 1 and 256 contexts at most, whatever the corpus; by their keys a task would get a large share of the grams
+            contexts = F.broadcast(contexts)
+        q = q.withColumn("context", F.shiftright(F.col("gram").bitwiseAND(F.lit(_mask(k))), 8)).join(contexts, "context", "left")
+        part = F.try_element_at("kept", F.col("gram").bitwiseAND(F.lit(255)).cast("int")) / F.col("total")
+        q = q.select("gram", (F.coalesce(part, F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
     return q.select("gram", F.round(F.log("p") / _UNIT).cast("long").alias("log_p"))
 
 
@@ -143,7 +144,7 @@ def _unpack(packed: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pa.ipc.open_stream(stream).read_all().to_pandas(integer_object_nulls=True)
 
 
-def log_perplexity(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], block_bytes: int = 24 << 20, keys: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+def log_perplexity(docs: DataFrame, model: list[DataFrame], block_bytes: int = 24 << 20, keys: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The keys, n_bytes and nll (negative log-likelihood, natural) of each row. Null or empty text: 0 and 0.
 
     Rows are dealt into blocks of about block_bytes bytes of text by the hash of id and text.
